@@ -93,12 +93,19 @@ def scale_for_every_client(holdout: DataFrame, scalers: DataFrame, spec: TableSp
 
 
 def training_set(real: DataFrame, validated: DataFrame | None, spec: TableSpec) -> DataFrame:
-    """Real rows, plus the validated synthetic ones when there are any; ``source`` tells which."""
-    cols = [spec.client, *spec.features, spec.label]
-    out = real.select(*cols, F.lit("real").alias("source"))
-    if validated is None:
-        return out
-    return out.unionByName(validated.select(*cols, F.lit("synthetic").alias("source")))
+    """Real rows, plus the validated synthetic ones when there are any; ``source`` tells which.
+
+    ``row_key`` identifies a row by its key columns (for generated rows their id), so equal feature
+    values never make two rows one.
+    """
+    def side(df, source):
+        ids = [c for c in (*spec.key, "mode", "id") if c in df.columns]
+        if not ids:
+            raise ValueError(f"{source} rows need key columns {list(spec.key)} or an id")
+        key = F.md5(F.concat_ws("|", F.lit(source), *[F.col(c).cast("string") for c in ids]))
+        return df.select(spec.client, *spec.features, spec.label, F.lit(source).alias("source"), key.alias("row_key"))
+    out = side(real, "real")
+    return out if validated is None else out.unionByName(side(validated, "synthetic"))
 
 
 def pooled(df: DataFrame, spec: TableSpec) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import null_safe_join, pin_small, unpivot
+from ..functions.common import fetch_small, null_safe_join, pin_small, unpivot
 from ..functions.prefix import quantiles
 from ..spec import MODE_AGGREGATE, MODE_STATISTICAL, TableSpec
 
@@ -80,7 +80,7 @@ def fit_copula(df: DataFrame, spec: TableSpec) -> DataFrame:
     grids = pin_small(grid.groupBy("client").agg(
         F.map_from_entries(F.collect_list(F.struct("column", "grid"))).alias("g"))
         .select("client", F.array(*[F.col("g")[c] for c in feats]).alias("grids")))
-    table = {x["client"]: np.array(x["grids"], dtype=np.float64) for x in grids.collect()}
+    table = {x["client"]: np.array(x["grids"], dtype=np.float64) for x in fetch_small(grids)}
     d = len(feats)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
