@@ -99,7 +99,7 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small dimension written down in code; broadcast because its size is the literal's."""
-    return F.broadcast(spark.createDataFrame(rows, T._parse_datatype_string(schema)))
+    return F.broadcast(spark.createDataFrame(rows, T.StructType.fromDDL(schema)))
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str],
