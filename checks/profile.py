@@ -7,15 +7,13 @@ from fedtab.functions.common import r
 from fedtab.operators import profile as pf
 
 from . import base as b
-from .sampling import non_iid_shards, train_pool
+from .sampling import partitioned
 
 
 def shard_summary(spark, d):
     """Holdout, non-IID shards, and the summary of both: the partition job end to end."""
-    held = train_pool(spark, d).filter("split = 'holdout'").withColumn("client", F.lit("holdout"))
-    cols = ["client", "label", "l_extendedprice"]
-    return pf.shard_summary(non_iid_shards(spark, d).select(*cols).unionByName(held.select(*cols)),
-                            fx.SPEC, "l_extendedprice")
+    rows = partitioned(spark, d).withColumn("client", F.coalesce("client", "split"))
+    return pf.shard_summary(rows, fx.SPEC, "l_extendedprice")
 
 
 def column_profile(spark, d):
@@ -44,7 +42,8 @@ def class_weight(spark, d):
 
 
 def partition_reconciliation(spark, d):
-    return pf.reconcile(fx.txn(spark, d), train_pool(spark, d), non_iid_shards(spark, d))
+    rows = partitioned(spark, d)
+    return pf.reconcile(fx.txn(spark, d), rows, rows.filter("client IS NOT NULL"))
 
 
 QUERIES = {f.__name__: f for f in (

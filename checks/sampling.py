@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from fedtab import fixtures as fx
-from fedtab.functions.common import literal_table, null_safe_join
 from fedtab.operators import sampling as sm
 from fedtab.spec import PartitionPlan, TableSpec
 
@@ -53,17 +52,26 @@ def capped_allocation(spark, d):
     return sm.capped_counts(sm.argmax_counts(_shares(spark), n), 15).select("client", "cnt")
 
 
+def partitioned(spark, d):
+    return sm.holdout_and_shards(fx.txn(spark, d), fx.SPEC, PLAN, 0.2, b.SHARE_VALUES)
+
+
 def non_iid_shards(spark, d):
-    pool = train_pool(spark, d).filter("split = 'train'").drop("split")
-    return sm.non_iid_partition(pool, fx.SPEC, PLAN, b.SHARE_VALUES)
+    return partitioned(spark, d).filter("split = 'train'").drop("split")
 
 
 def non_iid_partition(spark, d):
-    return (non_iid_shards(spark, d).groupBy("client", "label")
+    """The two steps one after the other; non_iid_shards does both in one assignment."""
+    pool = train_pool(spark, d).filter("split = 'train'").drop("split")
+    return (sm.non_iid_partition(pool, fx.SPEC, PLAN, b.SHARE_VALUES).groupBy("client", "label")
             .agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("key_sum"),
                  F.sum("l_partkey").alias("part_sum")))
 
 
+def holdout_and_shards(spark, d):
+    return partitioned(spark, d).select(*fx.KEY, "label", "split", "client")
+
+
 def holdout_sample_row(spark, d):
     held = train_pool(spark, d).filter("split = 'holdout'")
     return sm.random_row(held, fx.SPEC, 42)
@@ -76,7 +84,7 @@ def synthetic_volume_target(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     seeded_rank, stratified_holdout, transaction_holdout, quantity_skew_allocation, rounded_counts,
-    capped_allocation, non_iid_partition, holdout_sample_row, synthetic_volume_target)}
+    capped_allocation, non_iid_partition, holdout_and_shards, holdout_sample_row, synthetic_volume_target)}
 
 SQL = {
     "seeded_rank": """SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type
@@ -103,6 +111,8 @@ SQL = {
         FROM ({b.capped(b.argmaxed("SELECT count(*) FROM pos"))})""",
     "non_iid_partition": f"""WITH {b.partitioned()} SELECT client, label, count(*) AS n,
         sum(l_orderkey)::BIGINT AS key_sum, sum(l_partkey)::BIGINT AS part_sum FROM shard GROUP BY ALL""",
+    "holdout_and_shards": f"""WITH {b.partitioned()} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, label, 'train' AS split, client
+        FROM shard UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, label, split, NULL FROM split WHERE split = 'holdout'""",
     "holdout_sample_row": f"""WITH {b.holdout()} SELECT l_quantity, l_extendedprice, l_discount, l_tax,
         CASE WHEN label = 1 THEN 'fraud' ELSE 'legitimate' END AS actual_class
       FROM split WHERE split = 'holdout' ORDER BY

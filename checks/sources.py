@@ -15,7 +15,7 @@ from fedtab.sources import store
 
 from . import base as b
 from . import gate as gate_checks
-from .sampling import non_iid_shards, train_pool
+from .sampling import partitioned
 
 S = fx.SPEC
 TXN_COLS = [*fx.KEY, "client", *fx.FEATURES, "label"]
@@ -38,11 +38,9 @@ def ingest_audit(spark, d):
 
 def client_partitioned_write(spark, d):
     path = new_path(spark, "by-client")
-    shards = non_iid_shards(spark, d).select(*TXN_COLS)
-    fl.write_by_client(shards, path, S, seed=42)
-    held = train_pool(spark, d).filter("split = 'holdout'").select(*TXN_COLS).withColumn("client", F.lit("holdout"))
-    fl.write_by_client(held, path, S, mode="append")
-    return fl.read_by_client(spark, path, shards.schema).groupBy("client").agg(
+    rows = partitioned(spark, d).withColumn("client", F.coalesce("client", "split")).select(*TXN_COLS)
+    fl.write_by_client(rows, path, S, seed=42)
+    return fl.read_by_client(spark, path, rows.schema).groupBy("client").agg(
         F.count("*").alias("n"), F.sum("label").cast("bigint").alias("n_pos"), F.sum("l_orderkey").alias("key_sum"))
 
 

@@ -8,8 +8,7 @@ never shuffled.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.common import fetch_small, literal_table, null_safe_join, pin_small
 from ..spec import PartitionPlan, TableSpec
 
+PREFIX_ROWS = 1_000_000  # a hash prefix with more rows is narrowed before it is ordered
+
 
 def hash_key(seed: int, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
@@ -67,33 +68,47 @@ def holdout_quotas(counts: DataFrame, strata: Sequence[str], test_size: float) -
             .select(*strata, "n", "quota"))
 
 
+def _before(by: str, part: Sequence[str]) -> Column:
+    w = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+
 def assign_by_rank(df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: int,
-                   ranges: DataFrame, out: str, ties: Sequence[str] = ()) -> DataFrame:
+                   ranges_of: Callable[[DataFrame], DataFrame], out: str,
+                   ties: Sequence[str] = ()) -> DataFrame:
     """Label every row by the range its seeded rank falls into.
 
-    ``ranges`` holds (strata, ``out``, lo, hi): ranks lo < rank <= hi get the label. It has one row
-    per stratum and label. Equals ranking the table and range-joining, at the price of reading
-    the key columns twice more instead of shuffling the rows.
+    ``ranges_of(counts)`` turns counts(strata, n) into ranges(strata, ``out``, lo, hi): ranks
+    lo < rank <= hi get the label. Equals ranking the table and range-joining, but reads the key
+    columns twice instead of shuffling the rows: once for a histogram over 16^3 hash prefixes per
+    stratum, once for the rows of the few prefixes that hold a cut. A prefix too large to order in
+    one task is narrowed by a second histogram first.
     """
     strata, key, ties = list(strata), list(key), list(ties)
     order = ["__h", *key, *ties]
-    ranges = pin_small(ranges.filter("hi > lo"))
-    largest = ranges.agg(F.max("hi")).first()[0] or 0
-    # about 1,000 rows per prefix, and never more than 16^5 prefixes per stratum
-    digits = min(5, max(1, math.ceil(math.log(max(largest, 1) / 1000 + 1, 16))))
     hashed = df.withColumn("__h", hash_key(seed, key))
-    slim = hashed.select(*strata, *order).withColumn("__p", F.substring("__h", 1, digits))
-    hist = slim.groupBy(*strata, "__p").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*strata).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("__before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    slim = hashed.select(*strata, *order).withColumn("__p", F.substring("__h", 1, 3))
+    hist = pin_small(slim.groupBy(*strata, "__p").agg(F.count("*").alias("n")))
+    counts = pin_small(hist.groupBy(*strata).agg(F.sum("n").alias("n")))
+    ranges = pin_small(ranges_of(counts).filter("hi > lo"))
 
     cut_at = ranges.select(*strata, F.col("hi").alias("cut")).distinct()
-    cuts = null_safe_join(hist, cut_at, strata)
+    inside = (F.col("cut") > F.col("__before")) & (F.col("cut") <= F.col("__before") + F.col("n"))
+    # the cut's position inside its prefix is what later steps look for
     cuts = pin_small(
-        cuts.filter((F.col("cut") > F.col("__before")) & (F.col("cut") <= F.col("__before") + F.col("n")))
-        .select(*strata, "__p", "cut", (F.col("cut") - F.col("__before")).alias("__nth")))
-    at_cut = null_safe_join(slim, F.broadcast(cuts.select(*strata, "__p").distinct()),
-                            [*strata, "__p"], "left_semi")
+        null_safe_join(hist.withColumn("__before", _before("__p", strata)), cut_at, strata).filter(inside)
+        .select(*strata, "__p", "cut", "n", (F.col("cut") - F.col("__before")).alias("__nth")))
+    at_cut = null_safe_join(slim, F.broadcast(cuts.select(*strata, "__p").distinct()), [*strata, "__p"], "left_semi")
+    if (cuts.agg(F.max("n")).first()[0] or 0) > PREFIX_ROWS:
+        at_cut = at_cut.withColumn("__q", F.substring("__h", 4, 3))
+        sub = at_cut.groupBy(*strata, "__p", "__q").agg(F.count("*").alias("n"))
+        sub = sub.withColumn("__before", _before("__q", [*strata, "__p"]))
+        found = null_safe_join(sub, cuts.drop("n"), [*strata, "__p"]).filter(
+            (F.col("__nth") > F.col("__before")) & (F.col("__nth") <= F.col("__before") + F.col("n")))
+        cuts = pin_small(found.select(*strata, F.concat("__p", "__q").alias("__p"), "cut",
+                                      (F.col("__nth") - F.col("__before")).alias("__nth")))
+        at_cut = null_safe_join(at_cut.withColumn("__p", F.concat("__p", "__q")).drop("__q"),
+                                F.broadcast(cuts.select(*strata, "__p").distinct()), [*strata, "__p"], "left_semi")
     ranked = at_cut.withColumn(
         "__nth", F.row_number().over(Window.partitionBy(*strata, "__p").orderBy(*order)).cast("bigint"))
     bounds = pin_small(
@@ -105,7 +120,8 @@ def assign_by_rank(df: DataFrame, strata: Sequence[str], key: Sequence[str], see
     keyed = null_safe_join(ranges, upper, [*strata, "hi"], "left")
     keyed = pin_small(null_safe_join(keyed, lower, [*strata, "lo"], "left").drop("lo", "hi"))
     me = F.struct(*order)
-    right = keyed.select(*[F.col(s).alias(f"__r_{s}") for s in strata], out, "__lo", "__hi")
+    right = keyed.select(*[F.col(s).alias(f"__r_{s}") for s in strata],
+                         *[c for c in keyed.columns if c not in strata])
     cond = ((F.col("__lo").isNull() | (me > F.col("__lo")))
             & (F.col("__hi").isNull() | (me <= F.col("__hi"))))
     for s in strata:
@@ -118,13 +134,13 @@ def stratified_holdout(df: DataFrame, spec: TableSpec, test_size: float, seed: i
                        strata: Sequence[str] | None = None, out: str = "split") -> DataFrame:
     """Exact-size stratified split: adds ``split`` in {train, holdout}."""
     strata = list(strata) if strata is not None else [spec.label]
-    counts = df.groupBy(*strata).agg(F.count("*").alias("n"))
-    quotas = holdout_quotas(counts, strata, test_size)
-    parts = F.array(
-        F.struct(F.lit("holdout").alias(out), F.lit(0).cast("bigint").alias("lo"), F.col("quota").alias("hi")),
-        F.struct(F.lit("train").alias(out), F.col("quota").alias("lo"), F.col("n").alias("hi")))
-    ranges = quotas.select(*strata, F.explode(parts).alias("x")).select(*strata, "x.*")
-    return assign_by_rank(df, strata, spec.key, seed, ranges, out, spec.ties)
+
+    def ranges_of(counts):
+        parts = F.array(
+            F.struct(F.lit("holdout").alias(out), F.lit(0).cast("bigint").alias("lo"), F.col("quota").alias("hi")),
+            F.struct(F.lit("train").alias(out), F.col("quota").alias("lo"), F.col("n").alias("hi")))
+        return holdout_quotas(counts, strata, test_size).select(*strata, F.inline(parts))
+    return assign_by_rank(df, strata, spec.key, seed, ranges_of, out, spec.ties)
 
 
 def dirichlet_shares(plan: PartitionPlan) -> dict[str, float]:
@@ -185,35 +201,58 @@ def count_ranges(counts: DataFrame) -> DataFrame:
                          hi.cast("bigint").alias("hi"))
 
 
-def partition_ranges(df: DataFrame, spec: TableSpec, plan: PartitionPlan,
+def partition_ranges(counts: DataFrame, spec: TableSpec, plan: PartitionPlan,
                      positive_shares: dict[str, float] | None = None) -> DataFrame:
-    """(label, client, lo, hi): quantity skew on the negatives, capped label skew on the positives."""
-    spark = df.sparkSession
-    totals = {int(x[0]): int(x[1]) for x in
-              fetch_small(df.groupBy(spec.label).agg(F.count("*").alias("n")), 2)}
+    """counts(label, n) to (label, client, lo, hi): quantity skew on the negatives, capped label skew
+    on the positives."""
+    spark = counts.sparkSession
+    totals = {int(x[spec.label]): int(x["n"]) for x in fetch_small(counts, 2)}
     shares = positive_shares or dirichlet_shares(plan)
     neg = weighted_counts(share_table(spark, plan.weights, plan), totals.get(0, 0))
     pos = capped_counts(argmax_counts(share_table(spark, shares, plan), totals.get(1, 0)), plan.poor_cap)
-    kind = df.schema[spec.label].dataType
-    return (count_ranges(neg).withColumn(spec.label, F.lit(0).cast(kind))
+    kind = counts.schema[spec.label].dataType
+    both = (count_ranges(neg).withColumn(spec.label, F.lit(0).cast(kind))
             .unionByName(count_ranges(pos).withColumn(spec.label, F.lit(1).cast(kind))))
+    return both.withColumnRenamed("client", spec.client)
 
 
 def quantity_skew(df: DataFrame, spec: TableSpec, plan: PartitionPlan) -> DataFrame:
     """Spread all rows of ``df`` over the clients by the plan's weights; adds the client column."""
-    shares = share_table(df.sparkSession, plan.weights, plan)
-    ranges = count_ranges(weighted_counts(shares, df.count())).withColumnRenamed("client", spec.client)
+    def ranges_of(counts):
+        n = fetch_small(counts, 1)
+        shares = share_table(df.sparkSession, plan.weights, plan)
+        return (count_ranges(weighted_counts(shares, n[0]["n"] if n else 0))
+                .withColumnRenamed("client", spec.client).withColumn("__all", F.lit(0)))
     one = df.drop(spec.client).withColumn("__all", F.lit(0))
-    ranges = ranges.withColumn("__all", F.lit(0))
-    return assign_by_rank(one, ["__all"], spec.key, plan.seed, ranges, spec.client, spec.ties).drop("__all")
+    return assign_by_rank(one, ["__all"], spec.key, plan.seed, ranges_of, spec.client, spec.ties).drop("__all")
 
 
 def non_iid_partition(df: DataFrame, spec: TableSpec, plan: PartitionPlan,
                       positive_shares: dict[str, float] | None = None) -> DataFrame:
     """Deliberately skewed shards: every row of ``df`` gets exactly one client."""
-    pool = df.drop(spec.client)
-    ranges = partition_ranges(pool, spec, plan, positive_shares).withColumnRenamed("client", spec.client)
-    return assign_by_rank(pool, [spec.label], spec.key, plan.seed, ranges, spec.client, spec.ties)
+    return assign_by_rank(df.drop(spec.client), [spec.label], spec.key, plan.seed,
+                          lambda c: partition_ranges(c, spec, plan, positive_shares), spec.client, spec.ties)
+
+
+def holdout_and_shards(df: DataFrame, spec: TableSpec, plan: PartitionPlan, test_size: float = 0.2,
+                       positive_shares: dict[str, float] | None = None) -> DataFrame:
+    """Holdout split and non-IID partition in one assignment: adds ``split``, and the client of the
+    training rows (NULL in the holdout).
+
+    Both order rows by the same seeded hash, so the pool's ranks are the table's ranks minus the
+    quota, and the clients' ranges simply follow the holdout's.
+    """
+    def ranges_of(counts):
+        quotas = pin_small(holdout_quotas(counts, [spec.label], test_size))
+        pool = pin_small(quotas.select(spec.label, (F.col("n") - F.col("quota")).alias("n")))
+        shards = null_safe_join(partition_ranges(pool, spec, plan, positive_shares),
+                                quotas.select(spec.label, "quota"), [spec.label])
+        held = quotas.select(spec.label, F.lit("holdout").alias("split"), F.lit(None).cast("string").alias(spec.client),
+                             F.lit(0).cast("bigint").alias("lo"), F.col("quota").alias("hi"))
+        return held.unionByName(shards.select(
+            spec.label, F.lit("train").alias("split"), spec.client,
+            (F.col("lo") + F.col("quota")).alias("lo"), (F.col("hi") + F.col("quota")).alias("hi")))
+    return assign_by_rank(df.drop(spec.client), [spec.label], spec.key, plan.seed, ranges_of, "split", spec.ties)
 
 
 def shuffle_rows(df: DataFrame, spec: TableSpec, seed: int, rows_per_file: int = 1_000_000) -> DataFrame:
@@ -240,7 +279,3 @@ def synthetic_targets(positives: DataFrame, ratio: float = 1.0) -> DataFrame:
         "client", "n_pos",
         F.greatest(F.lit(1).cast("bigint"), F.bround(F.col("n_pos") * F.lit(float(ratio))).cast("bigint"))
         .alias("n_target"))
-
-
-def expected_holdout(n: int, test_size: float) -> int:
-    return math.ceil(n * test_size)
