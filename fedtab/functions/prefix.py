@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import null_safe_join
+from .common import null_safe_join, pin_small
 
 _PER_OCTAVE = 8
 _FINE = 65536
@@ -69,29 +69,36 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str,
               probs: Sequence[float], out: Sequence[str] | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group.
 
-    With ``out`` the quantiles become columns, else one array column ``grid``. NULLs are ignored.
+    A histogram over log buckets, combined map-side, locates the few buckets that hold a wanted
+    rank; only the values in those are put in order. Rows themselves are never shuffled. With
+    ``out`` the quantiles become columns, else one array column ``grid``. NULLs are ignored.
     """
     groups = list(groups)
-    base = df.filter(F.col(value).isNotNull()).select(*groups, value, F.lit(1).cast("bigint").alias("n"))
-    cum = running_totals(base, groups, value, ["n"])
-    total = cum.groupBy(*groups).agg(F.max("cum_n").alias("__total"))
-    cum = null_safe_join(cum, total, groups)
-    lo_rank, hi_rank = F.col("cum_n") - F.col("n"), F.col("cum_n")
-
-    def at(p):
-        pos = (F.col("__total") - 1) * F.lit(float(p))
-        low, high = F.floor(pos), F.ceil(pos)
-
-        def pick(idx):
-            return F.max(F.when((idx >= lo_rank) & (idx < hi_rank), F.col(value)))
-        return pick(low), pick(high), F.max(pos - low)
-
+    base = df.filter(F.col(value).isNotNull()).select(*groups, value)
+    coarse, fine = bucket_columns(F.col(value))
+    base = base.withColumn("__b", coarse.cast("bigint") * 2 * _FINE + F.floor(fine / (_FINE // 16)) * (_FINE // 16))
+
+    everything = Window.partitionBy(*groups)
+    upto = everything.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = (base.groupBy(*groups, "__b").agg(F.count("*").alias("n"))
+            .withColumns({"__before": F.coalesce(F.sum("n").over(upto), F.lit(0)),
+                          "__total": F.sum("n").over(everything)}))
+    pos = [(F.col("__total") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array(*[f(x) for x in pos for f in (F.floor, F.ceil)])
+    wanted = pin_small(hist.filter(F.exists(ranks, lambda i: (i >= F.col("__before")) & (i < F.col("__before") + F.col("n"))))
+                       .select(*groups, "__b", "__before", "__total"))
+    chosen = null_safe_join(base, wanted.select(*groups, "__b"), [*groups, "__b"], "left_semi")
+    cum = running_totals(chosen.withColumn("n", F.lit(1).cast("bigint")), [*groups, "__b"], value, ["n"])
+    cum = null_safe_join(cum, wanted, [*groups, "__b"])
+    hi_rank = F.col("__before") + F.col("cum_n")
+    lo_rank = hi_rank - F.col("n")
+
+    def pick(idx):
+        return F.max(F.when((idx >= lo_rank) & (idx < hi_rank), F.col(value)))
     parts, finals = [], []
-    for i, p in enumerate(probs):
-        a, b, frac = at(p)
-        parts += [a.alias(f"__a{i}"), b.alias(f"__b{i}"), frac.alias(f"__w{i}")]
-        v = F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__w{i}")
-        finals.append(v)
+    for i, x in enumerate(pos):
+        parts += [pick(F.floor(x)).alias(f"__a{i}"), pick(F.ceil(x)).alias(f"__z{i}"), F.max(x - F.floor(x)).alias(f"__w{i}")]
+        finals.append(F.col(f"__a{i}") + (F.col(f"__z{i}") - F.col(f"__a{i}")) * F.col(f"__w{i}"))
     agg = cum.groupBy(*groups).agg(*parts)
     if out is None:
         return agg.select(*groups, F.array(*finals).alias("grid"))

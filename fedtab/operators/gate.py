@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import null_safe_join, pin_small, safe_div, unpivot
+from ..functions.common import null_safe_join, pin_small, safe_div, stage, unpivot
 from ..functions.prefix import running_totals
 from ..functions.text import embed_rows
 from ..spec import TableSpec, Thresholds
@@ -127,6 +127,7 @@ def report(checked: DataFrame, real: DataFrame, spec: TableSpec, batch: Sequence
     passing rows; the default embeds the row text. Batches with too few valid rows are not scored.
     """
     batch = list(batch)
+    real = stage(real.select(spec.client, *spec.features))  # read by three scores
     counts = pin_small(pass_counts(checked, batch))
     enough = counts.filter(F.col("n_schema_pass") >= thresholds.min_valid_rows).select(*batch)
     scored = null_safe_join(checked.filter("passed"), enough, batch, "left_semi")
@@ -153,6 +154,6 @@ def accept(checked: DataFrame, reports: DataFrame, batch: Sequence[str] = BATCH)
 def run_gate(candidates: DataFrame, shards: DataFrame, spec: TableSpec,
              thresholds: Thresholds = Thresholds(), batch: Sequence[str] = BATCH):
     """(accepted rows, report): bounds come from the client's whole shard, scores from its positives."""
-    checked = check_rows(candidates, range_bounds(shards, spec), spec)
+    checked = stage(check_rows(candidates, range_bounds(shards, spec), spec))
     rep = pin_small(report(checked, shards.filter(F.col(spec.label) == 1), spec, batch, thresholds))
     return accept(checked, rep, batch), rep
