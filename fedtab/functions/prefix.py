@@ -34,6 +34,13 @@ def bucket_columns(value: Column) -> tuple[Column, Column]:
     return coarse.cast("int"), fine.cast("int")
 
 
+def histogram_bucket(value: Column, per_coarse: int = 16) -> Column:
+    """Order-preserving bucket of a value: ``per_coarse`` equal parts of each coarse bucket."""
+    coarse, fine = bucket_columns(value)
+    step = _FINE // per_coarse
+    return coarse.cast("bigint") * 2 * _FINE + F.floor(fine / step) * step
+
+
 def running_totals(df: DataFrame, groups: Sequence[str], value: str,
                    measures: Sequence[str]) -> DataFrame:
     """One row per (groups, distinct value) with each measure and its inclusive running total
@@ -70,13 +77,11 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str,
     """Exact linearly interpolated quantiles per group, one row per group.
 
     A histogram over log buckets, combined map-side, locates the few buckets that hold a wanted
-    rank; only the values in those are put in order. Rows themselves are never shuffled. With
-    ``out`` the quantiles become columns, else one array column ``grid``. NULLs are ignored.
+    rank; only the values in those are put in order, the other rows never shuffle. With ``out`` the quantiles become columns, else one array column ``grid``. NULLs are ignored.
     """
     groups = list(groups)
     base = df.filter(F.col(value).isNotNull()).select(*groups, value)
-    coarse, fine = bucket_columns(F.col(value))
-    base = base.withColumn("__b", coarse.cast("bigint") * 2 * _FINE + F.floor(fine / (_FINE // 16)) * (_FINE // 16))
+    base = base.withColumn("__b", histogram_bucket(F.col(value)))
 
     everything = Window.partitionBy(*groups)
     upto = everything.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

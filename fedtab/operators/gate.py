@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import null_safe_join, pin_small, safe_div, stage, unpivot
-from ..functions.prefix import running_totals
+from ..functions.prefix import histogram_bucket, running_totals
 from ..functions.text import embed_rows
 from ..spec import TableSpec, Thresholds
 from .nearest import batch_similarity
@@ -80,14 +80,30 @@ def column_shape(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
     """Per batch and column 1 - KS statistic between the real and the synthetic distribution."""
     keys = [*batch, "column"]
     long = unpivot(_both_sides(real, synthetic, spec, batch), [*batch, "side"], spec.features)
-    cum = running_totals(
-        long.select(*keys, "value", (1 - F.col("side")).cast("bigint").alias("a"),
-                    F.col("side").cast("bigint").alias("b")), keys, "value", ["a", "b"])
-    # totals are the last running values, so one more small aggregate and a join give the CDFs
-    total = cum.groupBy(*keys).agg(F.max("cum_a").alias("na"), F.max("cum_b").alias("nb"))
-    gap = F.abs(safe_div(F.col("cum_a"), F.col("na")) - safe_div(F.col("cum_b"), F.col("nb")))
-    return (null_safe_join(cum, total, keys).groupBy(*keys)
-            .agg((1 - F.max(gap)).alias("score")))
+    base = long.select(*keys, "value", (1 - F.col("side")).cast("bigint").alias("a"), F.col("side").cast("bigint").alias("b"),
+                       histogram_bucket(F.col("value")).alias("__b"))
+    every = Window.partitionBy(*keys)
+    upto = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = (base.groupBy(*keys, "__b").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+            .withColumns({"a1": F.sum("a").over(upto), "b1": F.sum("b").over(upto),
+                          "na": F.sum("a").over(every), "nb": F.sum("b").over(every)}))
+
+    def cdf(x, n):
+        return safe_div(x, F.col(n))
+    a0, b0 = cdf(F.col("a1") - F.col("a"), "na"), cdf(F.col("b1") - F.col("b"), "nb")
+    a1, b1 = cdf(F.col("a1"), "na"), cdf(F.col("b1"), "nb")
+    # inside a bucket the gap stays between its corners; only buckets that could beat the best
+    # gap seen at a bucket's end need their values in order
+    hist = (hist.withColumns({"gap": F.abs(a1 - b1), "most": F.greatest(F.abs(a1 - b0), F.abs(a0 - b1))})
+            .withColumn("best", F.max("gap").over(every)))
+    hot = pin_small(hist.filter((F.col("most") > F.col("best")) & (F.col("a") + F.col("b") > 1))
+                    .select(*keys, "__b", "na", "nb", (F.col("a1") - F.col("a")).alias("a0"),
+                            (F.col("b1") - F.col("b")).alias("b0")))
+    cum = running_totals(null_safe_join(base, hot.select(*keys, "__b"), [*keys, "__b"], "left_semi"),
+                         [*keys, "__b"], "value", ["a", "b"])
+    near = null_safe_join(cum, hot, [*keys, "__b"]).select(
+        *keys, F.abs(cdf(F.col("a0") + F.col("cum_a"), "na") - cdf(F.col("b0") + F.col("cum_b"), "nb")).alias("gap"))
+    return hist.select(*keys, "gap").unionByName(near).groupBy(*keys).agg((1 - F.max("gap")).alias("score"))
 
 
 def pair_trends(real: DataFrame, synthetic: DataFrame, spec: TableSpec,

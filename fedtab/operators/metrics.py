@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import null_safe_join, safe_div
-from ..functions.prefix import running_totals
+from ..functions.common import null_safe_join, pin_small, safe_div
+from ..functions.prefix import histogram_bucket, running_totals
 from ..spec import METRICS
 
 
@@ -48,16 +48,27 @@ def rates(conf: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str = "label") -> DataFrame:
-    """Exact ROC AUC with ties counted half; NaN when a class is absent."""
+    """Exact ROC AUC with ties counted half; NaN when a class is absent.
+
+    Pairs in different score buckets are counted on a map-side combined histogram. Only buckets
+    that hold both classes need their scores in order, which for a rare class are few.
+    """
     groups = list(groups)
     base = df.select(*groups, F.col(score).cast("double").alias("__s"),
-                     (F.col(label) == 1).cast("bigint").alias("p"),
-                     (F.col(label) != 1).cast("bigint").alias("q"))
-    cum = running_totals(base, groups, "__s", ["p", "q"])
-    won = F.sum(F.col("p") * (F.col("cum_q") - F.col("q") * F.lit(0.5)))
+                     (F.col(label) == 1).cast("bigint").alias("p"), (F.col(label) != 1).cast("bigint").alias("q"))
+    base = base.withColumn("__b", histogram_bucket(F.col("__s"), 256))
+    upto = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = base.groupBy(*groups, "__b").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    mixed = pin_small(hist.filter("p > 0 AND q > 0").select(*groups, "__b"))
+    inside = running_totals(null_safe_join(base, mixed, [*groups, "__b"], "left_semi"),
+                            [*groups, "__b"], "__s", ["p", "q"])
+    zero = F.lit(0).cast("bigint")
+    won = (hist.withColumn("__lower", F.coalesce(F.sum("q").over(upto), F.lit(0)))
+           .select(*groups, "p", "q", (F.col("p") * F.col("__lower")).cast("double").alias("won"))
+           .unionByName(inside.select(*groups, zero.alias("p"), zero.alias("q"),
+                                      (F.col("p") * (F.col("cum_q") - F.col("q") * F.lit(0.5))).alias("won"))))
     pairs = F.sum("p").cast("double") * F.sum("q").cast("double")
-    return cum.groupBy(*groups).agg(
-        F.coalesce(safe_div(won, pairs), F.lit(float("nan"))).alias("auc"))
+    return won.groupBy(*groups).agg(F.coalesce(safe_div(F.sum("won"), pairs), F.lit(float("nan"))).alias("auc"))
 
 
 def evaluate(df: DataFrame, groups: Sequence[str], logit: str = "logit", label: str = "label",
