@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fedtab import fixtures as fx
-from fedtab.functions.common import new_path, pin_small, r, stage
+from fedtab.functions import mlp
+from fedtab.functions.common import new_path, pin_small, r
 from fedtab.operators import prep
 from fedtab.operators import profile as pf
 from fedtab.operators import runs as rn
@@ -107,7 +108,7 @@ def stored_run(spark, d):
     t = fx.txn(spark, d)
     scalers = pin_small(prep.fit_scaler(t, S))
     shards = tr.pack_shards(prep.scale(t, scalers, S), S)
-    trained = pin_small(tr.train_local(shards, tr.start_weights(spark, fx.CLIENTS, 4, 42), 4, 1).select("client", "n", "w"))
+    trained = pin_small(tr.train_clients(shards, mlp.initial_weights(4, 42), 4, 1).select("client", "n", "w"))
     shared = pin_small(tr.weighted_average(trained.withColumn("client", F.lit("*")), ["client"]).select("client", "w"))
     names = sorted(fx.CLIENTS)
     for run_id, arm, w, s, cl in (("iso", "isolated_real", trained.select("client", "w"), scalers, names),
@@ -169,7 +170,9 @@ def forward_logits(spark, d):
     """Raw logits of all transactions under their client's initial model."""
     t = fx.txn(spark, d)
     scaled = prep.scale(t, prep.fit_scaler(t, S), S)
-    return tr.score(scaled, tr.start_weights(spark, fx.CLIENTS, 4, 7), fx.FEATURES).select(*fx.KEY, "client", "logit")
+    models = spark.createDataFrame([(c, [float(v) for v in mlp.initial_weights(4, i)]) for i, c in enumerate(fx.CLIENTS)],
+                                   "client string, w array<double>")
+    return tr.score(scaled, models, fx.FEATURES).select(*fx.KEY, "client", "logit")
 
 
 QUERIES = {f.__name__: f for f in (

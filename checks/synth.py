@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fedtab import fixtures as fx
-from fedtab.functions.common import literal_table, r
+from fedtab.functions.common import literal_table, pin_small, r
 from fedtab.operators import profile as pf
 from fedtab.operators import sampling as sm
 from fedtab.operators import synth as sy
@@ -25,7 +25,7 @@ def copula_generation(spark, d):
     pos = fx.positives(spark, d)
     gen = sy.sample_copula(sy.fit_copula(pos, S), targets(spark, d, 2.0), S, seed=42)
     lim = pf.range_bounds(pos, S, slack=0.0)
-    checked = gen.unpivot(["client", "id"], list(S.features), "column", "v").join(F.broadcast(lim), ["client", "column"])
+    checked = gen.unpivot(["client", "id"], list(S.features), "column", "v").join(pin_small(lim), ["client", "column"])
     return checked.groupBy("client", "column").agg(
         F.count("*").alias("n"), F.count_if((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))).alias("outside"))
 

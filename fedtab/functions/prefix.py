@@ -88,23 +88,31 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str,
     hist = (base.groupBy(*groups, "__b").agg(F.count("*").alias("n"))
             .withColumns({"__before": F.coalesce(F.sum("n").over(upto), F.lit(0)),
                           "__total": F.sum("n").over(everything)}))
-    pos = [(F.col("__total") - 1) * F.lit(float(p)) for p in probs]
-    ranks = F.array(*[f(x) for x in pos for f in (F.floor, F.ceil)])
-    wanted = pin_small(hist.filter(F.exists(ranks, lambda i: (i >= F.col("__before")) & (i < F.col("__before") + F.col("n"))))
-                       .select(*groups, "__b", "__before", "__total"))
+    # (index, wanted rank, end): every quantile lies between the values at two ranks
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+
+    def ranks(p, total):
+        x = (total - 1) * p
+        return F.floor(x), F.ceil(x), x - F.floor(x)
+
+    def holds(p):
+        low, high, _ = ranks(p["p"], F.col("__total"))
+        a, z = F.col("__before"), F.col("__before") + F.col("n")
+        return ((low >= a) & (low < z)) | ((high >= a) & (high < z))
+    wanted = pin_small(hist.withColumn("__points", F.filter(points, holds)).filter(F.size("__points") > 0)
+                       .select(*groups, "__b", "__before", "__total", "__points"))
     chosen = null_safe_join(base, wanted.select(*groups, "__b"), [*groups, "__b"], "left_semi")
     cum = running_totals(chosen.withColumn("n", F.lit(1).cast("bigint")), [*groups, "__b"], value, ["n"])
-    cum = null_safe_join(cum, wanted, [*groups, "__b"])
-    hi_rank = F.col("__before") + F.col("cum_n")
-    lo_rank = hi_rank - F.col("n")
-
-    def pick(idx):
-        return F.max(F.when((idx >= lo_rank) & (idx < hi_rank), F.col(value)))
-    parts, finals = [], []
-    for i, x in enumerate(pos):
-        parts += [pick(F.floor(x)).alias(f"__a{i}"), pick(F.ceil(x)).alias(f"__z{i}"), F.max(x - F.floor(x)).alias(f"__w{i}")]
-        finals.append(F.col(f"__a{i}") + (F.col(f"__z{i}") - F.col(f"__a{i}")) * F.col(f"__w{i}"))
-    agg = cum.groupBy(*groups).agg(*parts)
+    cum = null_safe_join(cum, wanted, [*groups, "__b"]).withColumn("__before", F.col("__before") + F.col("cum_n") - F.col("n"))
+    hits = cum.withColumn("__points", F.filter("__points", holds)).select(
+        *groups, value, "n", "__before", "__total", F.inline("__points"))
+    low, high, part = ranks(F.col("p"), F.col("__total"))
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("__before")) & (rank < F.col("__before") + F.col("n")), F.col(value)))
+    each = hits.groupBy(*groups, "i").agg(at(low).alias("__a"), at(high).alias("__z"), F.max(part).alias("__w")).select(
+        *groups, "i", (F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__w")).alias("__q"))
     if out is None:
-        return agg.select(*groups, F.array(*finals).alias("grid"))
-    return agg.select(*groups, *[v.alias(o) for v, o in zip(finals, out)])
+        grid = F.transform(F.array_sort(F.collect_list(F.struct("i", "__q"))), lambda x: x["__q"])
+        return each.groupBy(*groups).agg(grid.alias("grid"))
+    return each.groupBy(*groups).agg(*[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(o) for i, o in enumerate(out)])

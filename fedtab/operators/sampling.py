@@ -98,7 +98,7 @@ def assign_by_rank(df: DataFrame, strata: Sequence[str], key: Sequence[str], see
     cuts = pin_small(
         null_safe_join(hist.withColumn("__before", _before("__p", strata)), cut_at, strata).filter(inside)
         .select(*strata, "__p", "cut", "n", (F.col("cut") - F.col("__before")).alias("__nth")))
-    at_cut = null_safe_join(slim, F.broadcast(cuts.select(*strata, "__p").distinct()), [*strata, "__p"], "left_semi")
+    at_cut = null_safe_join(slim, cuts.select(*strata, "__p").distinct(), [*strata, "__p"], "left_semi")
     if (cuts.agg(F.max("n")).first()[0] or 0) > PREFIX_ROWS:
         at_cut = at_cut.withColumn("__q", F.substring("__h", 4, 3))
         sub = at_cut.groupBy(*strata, "__p", "__q").agg(F.count("*").alias("n"))
@@ -108,7 +108,7 @@ def assign_by_rank(df: DataFrame, strata: Sequence[str], key: Sequence[str], see
         cuts = pin_small(found.select(*strata, F.concat("__p", "__q").alias("__p"), "cut",
                                       (F.col("__nth") - F.col("__before")).alias("__nth")))
         at_cut = null_safe_join(at_cut.withColumn("__p", F.concat("__p", "__q")).drop("__q"),
-                                F.broadcast(cuts.select(*strata, "__p").distinct()), [*strata, "__p"], "left_semi")
+                                cuts.select(*strata, "__p").distinct(), [*strata, "__p"], "left_semi")
     ranked = at_cut.withColumn(
         "__nth", F.row_number().over(Window.partitionBy(*strata, "__p").orderBy(*order)).cast("bigint"))
     bounds = pin_small(
