@@ -89,7 +89,8 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str,
             .withColumns({"__before": F.coalesce(F.sum("n").over(upto), F.lit(0)),
                           "__total": F.sum("n").over(everything)}))
     # (index, wanted rank, end): every quantile lies between the values at two ranks
-    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    points = F.expr("array(" + ", ".join(
+        f"named_struct('i', {i}, 'p', CAST({float(p)!r} AS DOUBLE))" for i, p in enumerate(probs)) + ")")
 
     def ranks(p, total):
         x = (total - 1) * p

@@ -67,19 +67,17 @@ def pass_counts(checked: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
 def _both_sides(real: DataFrame, synthetic: DataFrame, spec: TableSpec, batch: Sequence[str]) -> DataFrame:
     """Synthetic rows and, for every batch, the real rows of its client, told apart by ``side``."""
     batches = pin_small(synthetic.select(*batch).distinct())
-    extra = [c for c in batch if c != spec.client]
     r = null_safe_join(real.select(spec.client, *spec.features), batches, [spec.client])
     return (r.select(*batch, *spec.features, F.lit(0).alias("side"))
-            .unionByName(synthetic.select(*batch, *spec.features, F.lit(1).alias("side")))) if extra else (
-        r.withColumn("side", F.lit(0)).unionByName(
-            synthetic.select(*batch, *spec.features, F.lit(1).alias("side"))))
+            .unionByName(synthetic.select(*batch, *spec.features, F.lit(1).alias("side"))))
 
 
 def column_shape(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
-                 batch: Sequence[str] = BATCH) -> DataFrame:
+                 batch: Sequence[str] = BATCH, sides: DataFrame | None = None) -> DataFrame:
     """Per batch and column 1 - KS statistic between the real and the synthetic distribution."""
     keys = [*batch, "column"]
-    long = unpivot(_both_sides(real, synthetic, spec, batch), [*batch, "side"], spec.features)
+    sides = _both_sides(real, synthetic, spec, batch) if sides is None else sides
+    long = unpivot(sides, [*batch, "side"], spec.features)
     base = long.select(*keys, "value", (1 - F.col("side")).cast("bigint").alias("a"), F.col("side").cast("bigint").alias("b"),
                        histogram_bucket(F.col("value")).alias("__b"))
     every = Window.partitionBy(*keys)
@@ -107,9 +105,10 @@ def column_shape(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
 
 
 def pair_trends(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
-                batch: Sequence[str] = BATCH) -> DataFrame:
+                batch: Sequence[str] = BATCH, sides: DataFrame | None = None) -> DataFrame:
     """Per batch and column pair 1 - |r_real - r_synthetic| / 2; NULL where r is undefined."""
-    c = correlations(_both_sides(real, synthetic, spec, batch), spec, [*batch, "side"])
+    sides = _both_sides(real, synthetic, spec, batch) if sides is None else sides
+    c = correlations(sides, spec, [*batch, "side"])
     a = F.max(F.when(F.col("side") == 0, F.col("r")))
     b = F.max(F.when(F.col("side") == 1, F.col("r")))
     return c.groupBy(*batch, "pair", "col_a", "col_b").agg((1 - F.abs(a - b) / 2).alias("score"))
@@ -119,8 +118,9 @@ def fidelity(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
              batch: Sequence[str] = BATCH) -> DataFrame:
     """Mean column shape, mean pair trend (undefined pairs left out) and their mean; a property
     with no defined score does not count."""
-    s = column_shape(real, synthetic, spec, batch).groupBy(*batch).agg(F.avg("score").alias("column_shapes"))
-    p = pair_trends(real, synthetic, spec, batch).groupBy(*batch).agg(F.avg("score").alias("pair_trends"))
+    sides = stage(_both_sides(real, synthetic, spec, batch))
+    s = column_shape(real, synthetic, spec, batch, sides).groupBy(*batch).agg(F.avg("score").alias("column_shapes"))
+    p = pair_trends(real, synthetic, spec, batch, sides).groupBy(*batch).agg(F.avg("score").alias("pair_trends"))
     a, b = F.col("column_shapes"), F.col("pair_trends")
     return null_safe_join(s, p, batch, "left").withColumn(
         "fidelity_score", F.when(a.isNull(), b).when(b.isNull(), a).otherwise((a + b) / 2))
