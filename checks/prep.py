@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from fedtab import fixtures as fx
 from fedtab.functions.common import literal_table, r
 from fedtab.operators import prep
-from fedtab.spec import TableSpec
 
 from . import base as b
 from .sampling import train_pool

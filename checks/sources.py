@@ -1,7 +1,6 @@
 """Source, sink and stored-run queries."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fedtab import fixtures as fx
 from fedtab.functions import mlp

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import literal_table, null_safe_join
+from ..functions.common import literal_table
 from ..spec import ARMS, METRICS, MODE_LABEL, RUN_DEFAULTS, VERDICT_LABEL
 
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from fedtab.functions import text as tx
 from fedtab.operators import gate as g
