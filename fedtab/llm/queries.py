@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fedtab.llm import exact
+from fedtab.llm import exact, urls
 
 QUERIES = {
+    "op2_url_filter": urls.op2_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
 }
 SQL = {
