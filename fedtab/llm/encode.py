@@ -22,6 +22,8 @@ CACHE_CHUNKS = 300_000
 LONGEST_KEPT = 64
 SLICE_CHARS = 2 << 20
 _RUN = re.compile(r"\s \s")
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,40}"
+_PLAIN = re.compile(rf"( ?{_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
 _START = "\0"  # marks a chunk that opens a text: it has no space in front
 
 
@@ -37,7 +39,7 @@ def load(path: str) -> Tokenizer:
 def keys_of(text: str) -> list[str]:
     """Cache keys of the pieces of a text that are encoded independently of each other: a piece that follows a
     space goes without it, the others are marked."""
-    if _RUN.search(text):
+    if _START in text or _RUN.search(text):
         return [_START + text]
     keys = text.split(" ")
     keys[0] = _START + keys[0]
@@ -86,17 +88,57 @@ def slices(texts: Iterable[str | None], size: int = SLICE_CHARS) -> Iterator[lis
         yield now
 
 
+def _shown_bytes() -> dict[int, str]:
+    """Byte-level vocabularies spell each byte as one visible character: itself where it is visible, else the
+    next one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Encodes texts to the bytes of their ids (unsigned 32 bits, little-endian)."""
+    """Encodes texts to the bytes of their ids (unsigned 32 bits, little-endian).
+
+    A new piece of the plain form word, punctuation, perhaps a line feed and another word is put together from
+    its parts, which the library's model encodes; any other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.cache = load(path), _cache(path)
+        self.tokenizer, self.cache, self.words = load(path), _cache(path), _words(path)
+        self.spelled = _shown_bytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        if (ids := self.words.get(word)) is None:
+            spelled = word.encode().decode("latin-1").translate(self.spelled)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+            if len(self.words) >= CACHE_CHUNKS:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
     def _make(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for a in range(0, len(pieces), 8192):
-            batch = self.tokenizer.encode_batch_fast(pieces[a:a + 8192], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in batch]
+        out: list[bytes | None] = []
+        rest = []
+        word, match = self._word, _PLAIN.fullmatch
+        for x in pieces:
+            if m := match(x):
+                a, stop, line, b, end = m.groups()
+                ids = word(a)
+                if stop:
+                    ids += word(stop)
+                if line:
+                    ids += word(line) + word(b)
+                    if end:
+                        ids += word(end)
+                out.append(ids)
+            else:
+                rest.append(len(out))
+                out.append(None)
+        for a in range(0, len(rest), 8192):
+            at = rest[a:a + 8192]
+            for i, e in zip(at, self.tokenizer.encode_batch_fast([pieces[i] for i in at], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
         return out
 
     def pieces(self, texts: Iterable[str | None]) -> Iterator[list[tuple[list[str], list[bytes]]]]:
@@ -115,6 +157,11 @@ class Encoder:
                 yield b"".join(ids)
 
 
+@lru_cache(maxsize=4)
+def _words(path: str) -> dict[str, bytes]:
+    return {}
+
+
 @lru_cache(maxsize=4)
 def _cache(path: str) -> PieceCache:
     """Outlives a task: Python workers are reused."""

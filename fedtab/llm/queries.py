@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fedtab.llm import exact, urls
+from fedtab.llm import exact, records, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op7_token_records": records.op7_token_records,
 }
 SQL = {
     "op4_exact_dedup": exact.SQL,
