@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fedtab.llm import exact, records, urls
+from fedtab.llm import exact, packing, records, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
+    "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op7_token_records": records.op7_token_records,
 }
