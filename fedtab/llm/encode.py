@@ -88,7 +88,7 @@ def slices(texts: Iterable[str | None], size: int = SLICE_CHARS) -> Iterator[lis
         yield now
 
 
-def _shown_bytes() -> dict[int, str]:
+def shown_bytes() -> dict[int, str]:
     """Byte-level vocabularies spell each byte as one visible character: itself where it is visible, else the
     next one from U+0100 on."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -105,7 +105,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.cache, self.words = load(path), _cache(path), _words(path)
-        self.spelled = _shown_bytes()
+        self.spelled = shown_bytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token."""
