@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from fedtab.llm import exact, packing, records, transducer, urls
+from fedtab.llm import exact, packing, records, transducer, urls, warc
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op7_token_records": records.op7_token_records,
+    "op8_warc": warc.op8_warc,
     "op9_bpe_round_trip": transducer.op9_bpe_round_trip,
 }
 SQL = {
     "op4_exact_dedup": exact.SQL,
+    "op8_warc": warc.SQL,
 }
