@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from fedtab.llm import exact, packing, records, transducer, urls, warc
+from fedtab.llm import exact, language, packing, records, toxicity, transducer, urls, warc
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_url_filter": urls.op2_url_filter,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op7_token_records": records.op7_token_records,
     "op8_warc": warc.op8_warc,
     "op9_bpe_round_trip": transducer.op9_bpe_round_trip,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op4_exact_dedup": exact.SQL,
