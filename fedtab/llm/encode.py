@@ -23,7 +23,8 @@ LONGEST_KEPT = 64
 SLICE_CHARS = 2 << 20
 _RUN = re.compile(r"\s \s")
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,40}"
-_PLAIN = re.compile(rf"( ?{_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
+_STOPS = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but for the apostrophe, which contractions use
+_PLAIN = re.compile(rf"( ?(?:{_LETTERS}|[0-9]{{1,20}}|{_STOPS}{{1,20}}))({_STOPS}*)(?:(\n)({_LETTERS})({_STOPS}*))?")
 _START = "\0"  # marks a chunk that opens a text: it has no space in front
 
 

@@ -105,9 +105,9 @@ def _sentence_tables(path: str) -> tuple[np.ndarray, np.ndarray]:
 class Packer:
     """Packs one stream; ``add`` documents in order, ``rows`` of finished windows come back as pieces."""
 
-    def __init__(self, tables: tuple[np.ndarray, np.ndarray], first_sequence: int, window: int = WINDOW):
+    def __init__(self, tables: tuple[np.ndarray, np.ndarray], first_sequence: int, window: int = WINDOW, with_ids: bool = True):
         self.ends, self.begins = tables
-        self.window, self.sequence = window, first_sequence
+        self.window, self.sequence, self.with_ids = window, first_sequence, with_ids
         self.docs: deque = deque()  # [doc_id, ids, ids already packed]
         self.held = 0
 
@@ -125,13 +125,14 @@ class Packer:
         ids = np.concatenate([x[1][x[2]:] for x in self.docs])
         doc_ends = np.cumsum([len(x[1]) - x[2] for x in self.docs])
         sentence = np.flatnonzero(self.ends[ids[:-1]] & self.begins[ids[1:]]) + 1
-        places = np.union1d(doc_ends, sentence)
+        places = np.unique(np.concatenate((doc_ends, sentence)))
         gaps = np.diff(np.concatenate(([0], places)))
         wide = np.flatnonzero(gaps > FORCED_STEP)
-        forced = [np.arange(places[i] - gaps[i] + FORCED_STEP, places[i], FORCED_STEP) for i in wide.tolist()]
-        if forced:
-            forced = np.concatenate(forced)
-            places = np.union1d(places, forced)
+        if len(wide):
+            each = (gaps[wide] - 1) // FORCED_STEP  # forced places in each wide stretch
+            step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + 1
+            forced = np.repeat(places[wide] - gaps[wide], each) + step * FORCED_STEP
+            places = np.sort(np.concatenate((places, forced)))
         penalty = np.full(len(places), FORCED_CUT)
         penalty[np.searchsorted(places, sentence)] = SENTENCE_CUT
         penalty[np.searchsorted(places, doc_ends)] = 0
@@ -154,8 +155,9 @@ class Packer:
             doc = self.docs[0]
             doc_id, ids, start = doc
             n = min(len(ids) - start, length - offset)
-            raw = ids[start:start + n].tobytes()
-            yield doc_id, start, n, zlib.crc32(raw), len(ids), self.sequence, offset, raw
+            raw = memoryview(ids[start:start + n])
+            piece = doc_id, start, n, zlib.crc32(raw), len(ids), self.sequence, offset
+            yield (*piece, raw.tobytes()) if self.with_ids else piece
             offset += n
             if start + n == len(ids):
                 self.docs.popleft()
@@ -166,15 +168,16 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-         separator: int = SEPARATOR) -> DataFrame:
-    """One row per piece of a document in a sequence, with its ids as bytes (unsigned 32 bits, little-endian).
-    Sequence numbers are unique and rise with the order of the documents."""
-    kinds = [pa.int64()] * 7 + [pa.binary()]
-    names = PIECES.names
+         separator: int = SEPARATOR, with_ids: bool = True) -> DataFrame:
+    """One row per piece of a document in a sequence, with its ids as bytes (unsigned 32 bits, little-endian)
+    unless only the places are asked for. Sequence numbers are unique and rise with the order of the documents."""
+    kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
+    schema = T.StructType(PIECES.fields[:len(kinds)])
+    names = schema.names
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        packer = Packer(_sentence_tables(tokenizer), TaskContext.get().partitionId() << 40, window)
+        packer = Packer(_sentence_tables(tokenizer), TaskContext.get().partitionId() << 40, window, with_ids)
         end = np.asarray([separator], "<u4").tobytes()
         out: list[tuple] = []
 
@@ -193,9 +196,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if out:
             yield flush()
 
-    return in_id_order(docs, id_col, text_col).mapInArrow(rows, PIECES)
+    return in_id_order(docs, id_col, text_col).mapInArrow(rows, schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)

@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
     row = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    return np.frombuffer(row.weights, np.float32), row.bias
+    return (np.frombuffer(row.weights, np.float32), row.bias) if row else (np.zeros(BUCKETS, np.float32), FIRST_BIAS)
 
 
 class Scorer:
