@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fedtab.llm import exact, jaccard, language, packing, records, toxicity, transducer, urls, warc
+from fedtab.llm import exact, fingerprints, jaccard, language, packing, records, toxicity, transducer, urls, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_url_filter": urls.op2_url_filter,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_jaccard_groups": jaccard.op6_jaccard_groups,
     "op7_token_records": records.op7_token_records,
     "op8_warc": warc.op8_warc,
