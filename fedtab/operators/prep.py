@@ -71,12 +71,14 @@ def fit_scaler(df: DataFrame, spec: TableSpec, pooled: bool = False) -> DataFram
 
 
 def scale(df: DataFrame, scalers: DataFrame, spec: TableSpec, client: str | None = None) -> DataFrame:
-    """Every row by the scaler of its client (or of the pooled table); keeps all columns."""
+    """Every row by the scaler of its client (or of the pooled table); keeps all columns. A row whose
+    client has no scaler is an error."""
     client = client or spec.client
     sc = pin_small(scalers.select(F.col("client").alias("__k"), "mean", "std"))
     key = F.col(client) if client in df.columns else F.lit(POOLED)
-    return (df.join(sc, key == F.col("__k"))
-            .withColumns({c: (F.col(c) - F.col("mean")[i]) / F.col("std")[i]
+    lost = F.raise_error(F.concat(F.lit("no scaler for client "), F.coalesce(key, F.lit("NULL")))).cast("double")
+    return (df.join(sc, key == F.col("__k"), "left")
+            .withColumns({c: F.when(F.col("mean").isNull(), lost).otherwise((F.col(c) - F.col("mean")[i]) / F.col("std")[i])
                           for i, c in enumerate(spec.features)})
             .drop("__k", "mean", "std"))
 

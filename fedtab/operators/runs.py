@@ -141,12 +141,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequenc
 
 
 def finalize(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Update-only: set status, metrics and updated_at of known runs; unknown run ids do nothing."""
-    u = updates.select("run_id", *[F.col(c).alias(f"__{c}") for c in ("status", "f1", "updated_at")])
-    hit = F.col("__status").isNotNull()
+    """Update-only: set whatever columns the update carries (status, final metrics, arm, updated_at) of
+    known runs; unknown run ids do nothing."""
+    names = [c for c in updates.columns if c != "run_id" and c in runs.columns]
+    u = updates.select("run_id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in names])
     j = runs.join(u, "run_id", "left")
-    return j.withColumns({c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c))
-                          for c in ("status", "f1", "updated_at")}).drop("__status", "__f1", "__updated_at")
+    return j.withColumns({c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in names}).select(*runs.columns)
 
 
 def register(requests: DataFrame) -> DataFrame:

@@ -206,7 +206,9 @@ def partition_ranges(counts: DataFrame, spec: TableSpec, plan: PartitionPlan,
     """counts(label, n) to (label, client, lo, hi): quantity skew on the negatives, capped label skew
     on the positives."""
     spark = counts.sparkSession
-    totals = {int(x[spec.label]): int(x["n"]) for x in fetch_small(counts, 2)}
+    totals = {x[spec.label]: int(x["n"]) for x in fetch_small(counts, 100)}
+    if set(totals) - {0, 1}:
+        raise ValueError(f"labels other than 0 and 1: {sorted(set(totals) - {0, 1}, key=str)}")
     shares = positive_shares or dirichlet_shares(plan)
     neg = weighted_counts(share_table(spark, plan.weights, plan), totals.get(0, 0))
     pos = capped_counts(argmax_counts(share_table(spark, shares, plan), totals.get(1, 0)), plan.poor_cap)

@@ -197,7 +197,7 @@ def leaking_prototypes(prototypes: DataFrame, real: DataFrame, spec: TableSpec,
 
 def clean_body(body: Column) -> Column:
     """The response text without code fences."""
-    t = F.trim(body)
+    t = F.regexp_replace(body, r"^\s+|\s+$", "")
     inner = F.regexp_replace(t, "^`+|`+$", "")
     return F.when(t.startswith("```"), F.substring(inner, F.greatest(F.instr(inner, "{"), F.lit(1)), F.length(inner))) \
         .otherwise(t)
@@ -213,7 +213,7 @@ def parse_responses(responses: DataFrame, spec: TableSpec, keep: Sequence[str] =
         # numbers, booleans and numeric texts convert; a missing key gives NULL
         text = F.try_variant_get(F.col("__v"), f"$['{c}']", "string")
         number = F.try_variant_get(F.col("__v"), f"$['{c}']", "double")
-        return F.coalesce(number, F.trim(text).try_cast("double"))
+        return F.coalesce(number, F.regexp_replace(text, r"^\s+|\s+$", "").try_cast("double"))
     exploded = responses.select(*keep, F.posexplode(rows).alias("__pos", "__v"))
     parsed = exploded.select(*keep, "__pos", *[field(c).alias(c) for c in spec.features])
     ok = parsed.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in spec.features))
