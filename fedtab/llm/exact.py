@@ -139,8 +139,9 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` that stay, with their own columns."""
     columns = docs.columns
     docs = located(docs)
-    kept = decide(docs, id_col, text_col)
-    return docs.join(kept.filter("kept").select("__file", "__row"), ["__file", "__row"], "left_semi").select(*columns)
+    # those that go are the fewer; written, their size is known and Spark picks the join by it
+    gone = stage(decide(docs, id_col, text_col).filter("NOT kept").select("__file", "__row"))
+    return docs.join(gone, ["__file", "__row"], "left_anti").select(*columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

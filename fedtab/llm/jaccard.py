@@ -13,10 +13,12 @@ hashes.
    together. Elements in one node only are dropped by a filter before anything is shuffled; element groups
    with the same members are processed once.
 3. Within a group a dual descent of signature trees finds the pairs that may link. Large groups are split into
-   blocks, one task a pair of blocks. A round proposes, in each group, only as many pairs as would join its
-   parts (those with the largest possible overlap first); the proposed pairs are verified on their full sets;
-   verified links join components, refuted pairs are not proposed again. Rounds go on until no pair is left;
-   after ``SPARSE_ROUNDS`` all that are left are proposed at once.
+   blocks, one task a pair of blocks. A round proposes, in each group, the pairs that would join its parts, those
+   with the largest possible overlap first, and in further rounds some more for each member (``MORE`` in the
+   second, that many times more in each one after it); the proposed pairs are verified on their full sets;
+   verified links join components, refuted pairs are not proposed again. A group is looked at again only if
+   pairs of it were held back and its members still are in different components. Rounds go on until no pair
+   is left.
 
 Defined results: null text and text without words have the empty set and link with nothing; repeated rows are
 rows of one node; a null identifier takes part but is no component's name unless no row of it has one; an
@@ -43,7 +45,8 @@ FREQUENT = 64
 FREQUENT_KEPT = 1_000_000
 FILTER_BITS = 1 << 27
 BLOCK = 2048
-SPARSE_ROUNDS = 6
+MORE = 4
+GROUP = ["token", "i", "j"]
 _SIGN = np.uint64(1 << 63)
 
 
@@ -82,6 +85,20 @@ def make_sets(docs: DataFrame, width: int, rule: Rule, id_col: str, text_col: st
     return light.mapInArrow(run, "id bigint, __file string, __row bigint, n bigint, node binary, signature binary, least array<bigint>")
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """A staged table of keys, to be broadcast if its rows are few enough; beyond that Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS // 4 else keys
+
+
+def _distinct_sets(rows: DataFrame) -> DataFrame:
+    """One row for every distinct set. Which rows repeat a set is settled on their places alone, so the
+    signatures and elements are not shuffled."""
+    places = rows.filter("n > 0").select("node", "__file", "__row")
+    first = places.groupBy("node").agg(F.min(F.struct("__file", "__row")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    spare = (places.join(first, "node").filter(F.struct("__file", "__row") != F.col("first")).select("__file", "__row"))
+    return rows.filter("n > 0").join(_sized(stage(spare)), ["__file", "__row"], "left_anti")
+
+
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent elements and the binary order of their counts, at most ``FREQUENT_KEPT`` of them: the bar is
     raised until they fit. The choice moves work, never the result: any common order is right."""
@@ -171,15 +188,16 @@ def _dealt(groups: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (groups.withColumn("block", block).withColumn("other", other)
             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-            .withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("block") == F.col("j")).cast("int"))))
+            .withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("block") == F.col("j")).cast("int")))
+            .select(*GROUP, "side", "node"))
 
 
-def _propose(rule: Rule, group: list[dict], sparse: bool) -> list[tuple[bytes, bytes]]:
-    """Pairs of one group to verify."""
+def _propose(rule: Rule, group: list[dict], share: int) -> tuple[list[tuple[bytes, bytes]], bool]:
+    """Pairs of one group to verify, and whether others are held back."""
     names: dict[bytes, int] = {}
     labels = np.asarray([names.setdefault(m["label"], len(names)) for m in group], np.int64)
     if len(names) < 2:
-        return []
+        return [], False
     sizes = np.asarray([m["n"] for m in group], np.int64)
     bitmaps = [np.frombuffer(m["signature"], "<u8") for m in group]
     sides = np.asarray([m["side"] for m in group])
@@ -189,47 +207,58 @@ def _propose(rule: Rule, group: list[dict], sparse: bool) -> list[tuple[bytes, b
              candidates(rule, sizes, bitmaps, np.asarray([m["first"] for m in group], np.int64), labels, side)
              for a, b, o in zip(x.tolist(), y.tolist(), over.tolist())]
     found = [(a, b, s) for a, b, s in found if not (group[b]["node"] in refuted[a] or group[a]["node"] in refuted[b])]
-    if sparse:
-        parent = list(range(len(names)))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        kept = []
-        for a, b, _ in sorted(found, key=lambda p: -p[2]):
-            ra, rb = root(int(labels[a])), root(int(labels[b]))
-            if ra != rb:
-                parent[ra] = rb
-                kept.append((a, b, 0))
-        found = kept
-    return [tuple(sorted((group[a]["node"], group[b]["node"]))) for a, b, _ in found]
-
-
-def _proposals(dealt: DataFrame, rule: Rule, sparse: bool) -> DataFrame:
+    parent = list(range(len(names)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    kept, had = [], [0] * len(group)
+    for a, b, s in sorted(found, key=lambda p: -p[2]):
+        ra, rb = root(int(labels[a])), root(int(labels[b]))
+        if ra != rb or (had[a] < share and had[b] < share):
+            parent[ra] = rb
+            had[a] += 1
+            had[b] += 1
+            kept.append((a, b))
+    return [tuple(sorted((group[a]["node"], group[b]["node"]))) for a, b in kept], len(kept) < len(found)
+
+
+def _proposals(members: DataFrame, rule: Rule, share: int) -> DataFrame:
+    """a and b of proposed pairs, and a row without them for every group that holds pairs back."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        key, group, out = None, [], []
 
-        def close() -> list[tuple[bytes, bytes]]:
-            return _propose(rule, group, sparse) if len(group) > 1 else []
+        def close() -> None:
+            if len(group) > 1:
+                pairs, more = _propose(rule, group, share)
+                out.extend((a, b, None, None, None) for a, b in pairs)
+                if more:
+                    out.append((None, None, *key))
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            out.clear()
+            return batch
 
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
             for m in batch.to_pylist():
                 k = m["token"], m["i"], m["j"]
                 if k != key:
-                    out += close()
+                    close()
                     key, group = k, []
                 group.append(m)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
-        if out := close():
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+                yield flush()
+        close()
+        if out:
+            yield flush()
 
-    keys = ["token", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary").distinct()
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a binary, b binary, token bigint, i int, j int")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, rule: Rule, text_col: str) -> DataFrame:
@@ -237,8 +266,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, rul
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     places = stage(named.join(nodes.select("node", "__file", "__row"), "node"))
     texts = docs.select("__file", "__row", F.col(text_col).cast("string").alias("text"))
-    texts = stage(texts.join(F.broadcast(places) if places.count() <= BROADCAST_KEYS // 4 else places, ["__file", "__row"])
-                  .select("node", "text"))
+    texts = stage(texts.join(_sized(places), ["__file", "__row"]).select("node", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -254,33 +282,48 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, rul
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after new links between nodes: the old components are the nodes of a smaller graph."""
+    def name(end: str) -> DataFrame:
+        return labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
+    edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+        F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    new = stage(components(edges)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    old = labels.join(new, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return old.unionByName(new.join(labels.select("node"), new["component"] == labels["node"], "left_anti")
+                           .select(F.col("component").alias("node"), F.col("whole").alias("component")))
+
+
 def link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest identifier of its group), kept (true
     for one row of each group: the smallest identifier, then the first place), __file, __row."""
     rule = Rule(num, den)
     docs = located(docs)
     rows = stage(make_sets(docs, width, rule, id_col, text_col))
-    nodes = stage(rows.filter("n > 0").select("node", "n", "signature", "least", "__file", "__row").dropDuplicates(["node"]))
+    nodes = _distinct_sets(rows)
     groups = stage(_dealt(_groups(stage(_memberships(nodes, rule)))))
-    entries = stage(nodes.join(groups.select("node").distinct(), "node", "left_semi")
+    entries = stage(nodes.join(_sized(stage(groups.select("node").distinct())), "node", "left_semi")
                     .select("node", "n", "signature", F.coalesce(F.get("least", F.lit(0)), F.lit(0)).alias("first")))
     spark = docs.sparkSession
-    links, refuted, labels = None, None, spark.createDataFrame([], "node binary, component binary")
-    rounds = 0
+    labels = spark.createDataFrame([], "node binary, component binary")
+    refuted, rounds = None, 0
     while True:
-        members = entries.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        no = (refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "node") if refuted is not None
-              else spark.createDataFrame([], "node binary, refuted array<binary>"))
-        dealt = groups.join(members.join(no, "node", "left"), "node")
-        pairs = stage(_proposals(dealt, rule, rounds < SPARSE_ROUNDS))
+        members = groups.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        if rounds:
+            apart = members.groupBy(*GROUP).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+            members = members.join(apart.select(*GROUP), GROUP, "left_semi")
+            members = members.join(refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "node"), "node", "left")
+        else:
+            members = members.withColumn("refuted", F.lit(None).cast("array<binary>"))
+        found = stage(_proposals(members.join(entries, "node"), rule, MORE ** rounds if rounds else 0))
+        pairs = stage(found.filter("a IS NOT NULL").select("a", "b").distinct())
         if pairs.isEmpty():
             break
         judged = stage(_verify(pairs, nodes, docs, width, rule, text_col))
-        new = judged.filter("linked").select("a", "b")
         bad = judged.filter("not linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
         refuted = bad if refuted is None else refuted.unionByName(bad)
-        labels = stage(components(links))
+        labels = stage(_joined(labels, judged.filter("linked").select("a", "b")))
+        groups = stage(groups.join(found.filter("a IS NULL").select(*GROUP), GROUP, "left_semi"))
         rounds += 1
     member = F.coalesce("component", "node")
     whole = rows.join(labels, "node", "left").withColumn("__group", F.when(F.col("n") > 0, member))
@@ -295,8 +338,8 @@ def keep_one(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc
     """The rows of ``docs`` that stay when each group keeps one, with their own columns."""
     columns = docs.columns
     docs = located(docs)
-    kept = link_groups(docs, width, num, den, id_col, text_col).filter("kept").select("__file", "__row")
-    return docs.join(kept, ["__file", "__row"], "left_semi").select(*columns)
+    gone = stage(link_groups(docs, width, num, den, id_col, text_col).filter("NOT kept").select("__file", "__row"))
+    return docs.join(gone, ["__file", "__row"], "left_anti").select(*columns)
 
 
 def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

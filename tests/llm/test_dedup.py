@@ -69,7 +69,7 @@ def test_groups_equal_brute_force(spark):
 def test_groups_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
-    monkeypatch.setattr(jaccard, "SPARSE_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "MORE", 1)
     rows = near_copies()
     assert linked(spark, rows, 4, 85, 100) == groups(rows, 4, 85, 100)
 
