@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's logit is the bias plus the weights of the hashed features of its
-words (the word and its character five-grams, so that compounds of a stem are seen); a document is toxic when at
+distinct words (the word and its character five-grams, so that compounds of a stem are seen); a document is toxic when at
 least one sentence is: ``p = 1 - (1 - leak) * prod(1 - p_sentence)`` (noisy-or). The leak is the logistic function
 of the bias, once a document; a sentence adds what it has beyond it, ``1 - p_sentence = (1 + e^bias) / (1 +
 e^logit)``, so that a long text without evidence scores like a short one. Only document labels are needed to train: the
@@ -75,7 +75,7 @@ def fit(texts: Iterable[str], labels: np.ndarray, rounds: int = ROUNDS) -> tuple
     words, sentence_ends, document_ends = [], [], []
     for text in texts:
         for s in sentences(text):
-            words += [vocabulary.setdefault(w, len(vocabulary)) for w in s.split()]
+            words += [vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(s.split())]
             sentence_ends.append(len(words))
         document_ends.append(len(sentence_ends))
     if not len(vocabulary):
@@ -151,7 +151,7 @@ class Scorer:
 
     def logits(self, texts: list[str | None]) -> list[np.ndarray]:
         """The logit of every sentence of each text."""
-        split = [[s.split() for s in sentences(t)] for t in texts]
+        split = [[list(dict.fromkeys(s.split())) for s in sentences(t)] for t in texts]  # each piece counts once a sentence
         young, large = self.cache.fill({w for x in split for s in x for w in s}, self._make)
         get = (lambda w: young[w] if w in young else large[w]) if large else young.__getitem__
         return [np.asarray([self.bias + sum(map(get, s)) for s in x]) for x in split]

@@ -87,8 +87,8 @@ def test_toxicity_query_on_held_out_rows(spark):
 
 def test_toxicity_locates_sentences(spark):
     bad = "zzrotten zzvile"
-    rows = [(k, ". ".join([sentence(k, 12), sentence(k + 500, 9), bad if k % 2 else "plain words", sentence(k + 900, 10)])) for k in range(60)]
-    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (3, None), (4, 7)], "doc_id bigint, toxic int")
+    rows = [(k, ". ".join([sentence(k, 12), sentence(k + 500, 9), bad if k >= 30 else "plain words", sentence(k + 900, 10)])) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k >= 30)) for k in range(60)] + [(None, 1), (70, None), (4, 7)], "doc_id bigint, toxic int")
     model = toxicity.train(documents(spark, rows), labels)
     docs = documents(spark, [(1, f"Fine start. You {bad} thing. Fine end."), (2, sentence(77, 4000)), (3, None), (4, "")]).withColumn("weights", F.lit(1))
     got = {r.doc_id: r for r in toxicity.score(docs, model, where_name="where").collect()}
