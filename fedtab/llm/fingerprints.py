@@ -20,6 +20,8 @@ one; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -234,30 +236,48 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _widths(share: float) -> list[int]:
+    """Rising numbers of first samples that bands look at. Of two numbers of samples, one at least ``share`` of the
+    other, the largest widths within them are the same or neighbours."""
+    out = [1]
+    while out[-1] < 24 * SAMPLES:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] / share)))
+    return out
+
+
+@lru_cache(maxsize=4096)
+def _spots(width: int) -> np.ndarray:
+    """The positions of each band among the first ``width`` samples, the same for every text."""
+    return np.sort(np.random.default_rng([20240609, width]).integers(0, width, (BANDS, BAND_WIDTH)), axis=1)
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and group_id (a fingerprint's group) of near-duplicates by likeness of at least ``least``.
 
     Equal fingerprints are one row first. In each band, a fingerprint is verified against the band's first and
     the one before it, so a band of n fingerprints gives at most 2n pairs. Candidates are those of the bands: two
-    documents that agree in a share p of samples share a band with chance ``1 - (1 - p**BAND_WIDTH)**BANDS``.
+    documents that agree in a share p of samples share a band with chance ``1 - (1 - p**BAND_WIDTH)**BANDS``. The
+    samples a band looks at depend on level and width alone; a text has bands at its own level and those above
+    it, at its own width and the one below, so texts on either side of a limit meet.
     """
     marks = stage(fingerprint(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))).select("id", "fingerprint"))
 
+    share = least * 15 / 16 + 1 / 16  # of samples that agree, at least; so the shorter has that share of the longer's
+    above = max(1, math.ceil(math.log2(1 / share) + 0.5))
+
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(20240609)
-        chosen = np.sort(rng.integers(0, SAMPLES, (BANDS, BAND_WIDTH)), axis=1)
+        widths = _widths(share)
         for batch in batches:
             keys, out = [], []
             for f in batch.column(0).to_pylist():
                 level = int(f[:2], 16)
-                for top in (level, level + 1):  # texts of neighbouring levels meet at the higher one
+                for top in range(level, level + above + 1):  # texts of different levels meet at the higher one
                     s = _at_level(f[3:], level, top)
-                    spots = chosen if top == level else chosen // 2
-                    if not len(s):
-                        continue
-                    for b, at in enumerate(spots % len(s) if len(s) < SAMPLES // 2 else np.minimum(spots, len(s) - 1)):
-                        keys.append(f"{b}:{top}:{s[at].tobytes().decode()}")
-                        out.append(f)
+                    k = bisect_right(widths, len(s)) - 1
+                    for w in widths[max(k - 1, 0):k + 1]:  # and those of different length at the smaller width
+                        for b, at in enumerate(_spots(w)):
+                            keys.append(f"{b}:{top}:{w}:{s[at].tobytes().decode()}")
+                            out.append(f)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.string())], names=["band", "fingerprint"])
 
     distinct = marks.select("fingerprint").distinct()

@@ -191,3 +191,23 @@ def test_near_groups_by_fingerprint(spark):
     got = {r.id: r.group_id for r in fingerprints.near_groups(documents(spark, rows)).collect()}
     assert sum(got[k] == got[100 + k] for k in range(10)) >= 9
     assert len({got[k] for k in range(10)}) == 10
+
+
+def test_near_groups_across_level_limits(spark):
+    limits = [fingerprints.SAMPLES << k for k in range(1, 6)]
+    texts = [(n, c, sentence(100 * n + c, n)) for n in limits for c in range(6)]
+    rows, pairs = [], []
+    for k, (n, c, t) in enumerate(texts):
+        a, at = t[:n - 1], n // 7 * (c + 1)
+        rows += [(2 * k, a), (2 * k + 1, a[:at] + "~" + a[at:])]
+        x, y = fingerprints.fingerprints([rows[-2][1], rows[-1][1]])
+        assert x[:2] != y[:2]
+        pairs.append((2 * k, fingerprints.likeness(x, y)))
+    shorts = [sentence(9000 + k, 20)[:24 + 2 * k] for k in range(20)]
+    for k, t in enumerate(shorts):
+        rows += [(1000 + 2 * k, t), (1001 + 2 * k, t + "~")]
+        pairs.append((1000 + 2 * k, fingerprints.likeness(*fingerprints.fingerprints([t, t + "~"]))))
+    got = {r.id: r.group_id for r in fingerprints.near_groups(documents(spark, rows)).collect()}
+    near = [k for k, s in pairs if s >= 0.88]
+    assert len(near) >= 40 and all(got[k] == got[k + 1] for k in near)
+    assert len({got[k] for k, _ in pairs}) == len(pairs)
