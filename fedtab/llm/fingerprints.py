@@ -40,6 +40,7 @@ PERIOD, KINDS = 4096, 1024
 SLICE_ROWS, SLICE_CHARS = 1000, 4 << 20
 FEW = 12
 BANDS, BAND_WIDTH = 24, 8
+BLOCK = 1024
 BITS = np.random.default_rng(20240608).integers(0, 2, (PERIOD, KINDS), dtype=np.uint8)
 _FOUR_BITS = (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(33)).astype(np.uint8) & np.uint8(15)
 _ZEROS: dict[str, np.ndarray] = {}
@@ -251,11 +252,106 @@ def _spots(width: int) -> np.ndarray:
     return np.sort(np.random.default_rng([20240609, width]).integers(0, width, (BANDS, BAND_WIDTH)), axis=1)
 
 
+def _matrix(marks: list[str], top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples at level ``top``, a row each and 0 beyond the end, and their numbers; none of fingerprints of higher levels."""
+    found = [_at_level(f[3:], level, top) if (level := int(f[:2], 16)) <= top else np.empty(0, np.uint8) for f in marks]
+    sizes = np.asarray([len(x) for x in found], np.int64)
+    out = np.zeros((len(found), int(sizes.max(initial=0))), np.uint8)
+    for row, x in zip(out, found):
+        row[:len(x)] = x
+    return out, sizes
+
+
+def links_of(marks: list[str], labels: list[str], sides: list[int], least: float) -> list[tuple[int, int]]:
+    """Links by likeness of at least ``least`` that join all the labels which such pairs of ``marks`` join: of any two
+    of side 0, or of sides 0 and 1 if there are both. Pairs of labels already joined are not looked at."""
+    names: dict[str, int] = {}
+    label = np.asarray([names.setdefault(x, len(names)) for x in labels], np.int64)
+    side, level = np.asarray(sides), np.asarray([int(f[:2], 16) for f in marks])
+    matrices = {int(t): _matrix(marks, int(t)) for t in np.unique(level)}
+    crossed, out = bool(side.any()), []
+    for a in np.flatnonzero(side == 0) if crossed else range(len(marks)):
+        others = np.flatnonzero(side == 1) if crossed else np.arange(a + 1, len(marks))
+        others = others[label[others] != label[a]]
+        tops = np.maximum(level[others], level[a])
+        for t in np.unique(tops):
+            (samples, sizes), c = matrices[int(t)], others[tops == t]
+            longest = np.maximum(sizes[c], sizes[a])
+            agree = (samples[c] == samples[a]).sum(axis=1) - (samples.shape[1] - longest)
+            alike = np.maximum(0.0, (agree / np.maximum(longest, 1) - 1 / 16) / (15 / 16))
+            for b in c[np.where(longest > 0, alike, 0.0) >= least]:
+                if label[b] != label[a]:
+                    label[label == label[b]] = label[a]
+                    out.append((int(a), int(b)))
+    return out
+
+
+def _close_links(banded: DataFrame, least: float) -> DataFrame:
+    """a and b of links of each fingerprint with its band's first and the one before it: few pairs that join most."""
+    firsts = banded.groupBy("band").agg(F.min("fingerprint").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    starred = banded.join(firsts.select("band", "other"), "band")
+    before = F.lag("fingerprint").over(Window.partitionBy("band", F.pmod(F.xxhash64(F.substring("fingerprint", 1, 8)), F.lit(64))).orderBy("fingerprint"))
+    pairs = (starred.withColumn("before", before).select("fingerprint", F.explode(F.array("other", "before")).alias("other"))
+             .filter("other <> fingerprint").distinct())
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (c.to_pylist() for c in batch.columns)
+            ok = [k for k in range(len(a)) if likeness(a[k], b[k]) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.string()), pa.array([b[k] for k in ok], pa.string())], names=["a", "b"])
+
+    return pairs.mapInArrow(verify, "a string, b string")
+
+
+def joined(banded: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """node and component of the fingerprints that links within bands (rows of band and fingerprint) join.
+
+    Every pair of a band counts. A first round verifies a few pairs of each fingerprint. Bands whose members are
+    then in different components, one of those with the same members, are split into blocks of about ``block``, a
+    task a pair of blocks, where all pairs of different components are verified: what a large band of unlike
+    fingerprints takes is quadratic in its blocks, in tasks of bounded size.
+    """
+    banded = stage(banded)
+    close = stage(_close_links(banded, least))
+    names = stage(components(close)).select(F.col("node").alias("fingerprint"), F.col("component").alias("label"))
+    members = banded.join(names, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
+    sums = [F.sum(F.xxhash64(F.lit(k), "fingerprint").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    apart = (members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), *sums)
+             .filter("lo <> hi").groupBy("n", "s1", "s2").agg(F.min("band").alias("band"))
+             .select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    keys = ["band", "i", "j"]
+    dealt = (members.join(apart, "band").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+             .withColumn("side", ((F.col("i") != F.col("j")) & (F.col("mine") == F.col("j"))).cast("int"))
+             .select(*keys, "side", "fingerprint", "label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def close() -> pa.RecordBatch:
+            sides, marks, labels = zip(*group)
+            found = links_of(marks, labels, sides, least) if key[1] == key[2] or len(set(sides)) == 2 else []
+            return pa.RecordBatch.from_arrays([pa.array([marks[p[k]] for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for *k, side, mark, label in zip(*[c.to_pylist() for c in batch.columns]):
+                if k != key:
+                    if group:
+                        yield close()
+                    key, group = k, []
+                group.append((side, mark, label))
+        if group:
+            yield close()
+
+    links = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a string, b string")
+    return components(close.unionByName(links))
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and group_id (a fingerprint's group) of near-duplicates by likeness of at least ``least``.
 
-    Equal fingerprints are one row first. In each band, a fingerprint is verified against the band's first and
-    the one before it, so a band of n fingerprints gives at most 2n pairs. Candidates are those of the bands: two
+    Equal fingerprints are one row first. Candidates are all pairs that share a band (``joined``): two
     documents that agree in a share p of samples share a band with chance ``1 - (1 - p**BAND_WIDTH)**BANDS``. The
     samples a band looks at depend on level and width alone; a text has bands at its own level and those above
     it, at its own width and the one below, so texts on either side of a limit meet.
@@ -282,19 +378,7 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
 
     distinct = marks.select("fingerprint").distinct()
     banded = distinct.mapInArrow(bands, "band string, fingerprint string")
-    firsts = banded.groupBy("band").agg(F.min("fingerprint").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    starred = banded.join(firsts.select("band", "other"), "band")
-    before = F.lag("fingerprint").over(Window.partitionBy("band", F.pmod(F.xxhash64(F.substring("fingerprint", 1, 8)), F.lit(64))).orderBy("fingerprint"))
-    pairs = (starred.withColumn("before", before).select("fingerprint", F.explode(F.array("other", "before")).alias("other"))
-             .filter("other <> fingerprint").distinct())
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (c.to_pylist() for c in batch.columns)
-            ok = [k for k in range(len(a)) if likeness(a[k], b[k]) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.string()), pa.array([b[k] for k in ok], pa.string())], names=["a", "b"])
-
-    groups = components(pairs.mapInArrow(verify, "a string, b string"))
+    groups = joined(banded, least)
     return (marks.join(groups, marks.fingerprint == groups.node, "left")
             .select("id", F.coalesce("component", "fingerprint").alias("group_id")))
 

@@ -211,3 +211,34 @@ def test_near_groups_across_level_limits(spark):
     near = [k for k, s in pairs if s >= 0.88]
     assert len(near) >= 40 and all(got[k] == got[k + 1] for k in near)
     assert len({got[k] for k, _ in pairs}) == len(pairs)
+
+
+def test_bands_of_many_unlike_fingerprints(spark):
+    """Every pair of a band is verified, also when hundreds of unlike ones lie between, in one block and in several."""
+    texts = [sentence(3000 + k, 100)[:600 + k] for k in range(300)]
+    a = fingerprints.fingerprints(texts)
+    b = fingerprints.fingerprints([f"{k % 7}~{k}" + t for k, t in enumerate(texts)])
+    marks = a + b
+    pairs = {(x, y) for i, x in enumerate(marks) for y in marks[:i] if fingerprints.likeness(x, y) >= 0.6}
+    assert len(pairs) > 200 and {int(f[:2], 16) for f in marks} == {3}
+    mixed = fingerprints.fingerprints([sentence(7, 200)[:n] for n in (500, 511, 512, 530, 1030, 90, 5, 0)])
+    for x in range(8):
+        for y in range(x):
+            assert bool(fingerprints.links_of([mixed[x], mixed[y]], ["x", "y"], [0, 0], 0.7)) == (fingerprints.likeness(mixed[x], mixed[y]) >= 0.7)
+    banded = spark.createDataFrame([("hot", f) for f in marks], "band string, fingerprint string")
+    close = {tuple(r) for r in fingerprints._close_links(banded, 0.6).collect()}
+    assert len({f for p in pairs for f in p} - {f for p in close for f in p}) > 100
+    parent = {f: f for f in marks}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for x, y in pairs:
+        lo, hi = sorted((root(x), root(y)))
+        parent[hi] = lo
+    want = {f: root(f) for f in marks if any(f in p for p in pairs)}
+    for block in (1024, 64):
+        assert {r.node: r.component for r in fingerprints.joined(banded, 0.6, block).collect()} == want
+    assert fingerprints.joined(banded.limit(0), 0.6).count() == 0
