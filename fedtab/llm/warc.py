@@ -4,8 +4,10 @@
 header columns down to the parser, reads the header block of a record first and skips the block of a record
 that they rule out, or whose payload is not asked for (a read schema without ``payload``), by seeking in plain
 files and by discarding in gzip files (one member a record). ``df.write.format("warc").save(folder)`` writes
-one series of files a task; the commit lists the files of the tasks that succeeded in ``_files.json`` and only
-those are read, so repeated tasks do no harm. The folder must be shared by all executors.
+one series of files a task; the commit lists the files of the tasks that succeeded in a ``_files-*.json`` of its
+own and only the files of all listings are read, so repeated tasks do no harm. Append adds a listing (the first one also
+lists archives of other origin that it finds); overwrite writes one that replaces those before it and then deletes
+them and their files. The folder must be shared by all executors.
 
 Predicate pushdown of Python data sources is a setting of Spark, off by default; ``register`` turns it on.
 
@@ -19,8 +21,9 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -43,7 +46,9 @@ HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri"
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload binary"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-LISTING = "_files.json"
+LISTING = re.compile(r"_files(-[0-9a-f]{32})?\.json")
+PART = re.compile(r"part-[0-9a-f]{32}\.warc(\.gz)?")
+ARCHIVES = (".warc", ".warc.gz")
 FILE_BYTES = 256 << 20
 PARTITION_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
@@ -79,6 +84,18 @@ def _predicate(f: Filter) -> tuple[str, Callable] | None:
     return path[0], test
 
 
+def _listings(fs: pafs.FileSystem, at: str, names: Iterable[str]) -> dict[str, list[str]]:
+    """Files by listing that no other one replaces."""
+    found, replaced = {}, set()
+    for n in names:
+        if LISTING.fullmatch(n):
+            with fs.open_input_stream(f"{at}/{n}") as f:
+                got = json.loads(f.read())
+            found[n] = got["files"] if isinstance(got, dict) else got
+            replaced.update(got["replaces"] if isinstance(got, dict) else ())
+    return {n: files for n, files in found.items() if n not in replaced}
+
+
 def parse(stream: io.BufferedIOBase, wanted: Callable[[dict[str, str]], bool], with_payload: bool) -> Iterator[tuple[dict, bytes | None]]:
     """Headers and payload of the records whose headers are wanted; other blocks are passed over unread."""
     while True:
@@ -125,11 +142,10 @@ class WarcReader(DataSourceReader):
         """Whole files, small ones together."""
         fs, at = open_fs(self.folder)
         infos = {x.base_name: x for x in fs.get_file_info(pafs.FileSelector(at)) if x.is_file}
-        if LISTING in infos:
-            with fs.open_input_stream(f"{at}/{LISTING}") as f:
-                names = json.loads(f.read())
+        if listings := _listings(fs, at, infos):
+            names = sorted({n for files in listings.values() for n in files})
         else:
-            names = sorted(n for n in infos if n.endswith((".warc", ".warc.gz")))
+            names = sorted(n for n in infos if n.endswith(ARCHIVES))
         out, size = [Files([])], 0
         for n in names:
             if out[-1].paths and size + infos[n].size > self.target:
@@ -181,8 +197,9 @@ def _one_line(value: str | None) -> str | None:
 class WarcWriter(DataSourceArrowWriter):
     """Writes rows of record_id, warc_type, target_uri, date, refers_to, payload_digest, payload_length, payload."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool):
         self.folder = options["path"]
+        self.overwrite = overwrite
         self.gzip = options.get("compression", "gzip") == "gzip"
         self.limit = int(options.get("filebytes", FILE_BYTES))
 
@@ -220,8 +237,20 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, at = open_fs(self.folder)
         fs.create_dir(at, recursive=True)
-        with fs.open_output_stream(f"{at}/{LISTING}", compression=None) as f:
-            f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        there = [x.base_name for x in fs.get_file_info(pafs.FileSelector(at)) if x.is_file]
+        before, listings = _listings(fs, at, there), sorted(n for n in there if LISTING.fullmatch(n))
+        other = [] if before else [n for n in there if n.endswith(ARCHIVES) and not PART.fullmatch(n)]
+        files = [n for m in messages if m for n in m.names]
+        listing = {"files": sorted(files if self.overwrite else files + other), "replaces": listings if self.overwrite else []}
+        name = f"_files-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{at}/{name}.new", compression=None) as f:
+            f.write(json.dumps(listing).encode())
+        fs.move(f"{at}/{name}.new", f"{at}/{name}")
+        if self.overwrite:  # the listing above settled it; what is left behind is not read
+            for n in {n for old in before.values() for n in old}.union(other) & set(there):
+                fs.delete_file(f"{at}/{n}")
+            for n in listings:
+                fs.delete_file(f"{at}/{n}")
 
     def abort(self, messages: list[Written | None]) -> None:
         """Without a listing nothing that the tasks left is a committed archive."""
@@ -239,7 +268,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -174,6 +174,34 @@ def test_archives_come_back(spark, tmp_path):
     assert spark.read.format("warc").load(folder).filter("warc_type in ('response', 'revisit')").count() == 0
 
 
+def test_archives_grow_by_appends(spark, tmp_path):
+    warc.register(spark)
+    folder = str(tmp_path / "grown")
+
+    def write(ids, mode, **options):
+        pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>") for i in ids], "page_id bigint, url string, html string")
+        warc.archive_rows(pages).write.format("warc").options(**options).mode(mode).save(folder)
+
+    def there():
+        return sorted(r.target_uri for r in spark.read.format("warc").load(folder).filter("warc_type = 'response'").collect())
+
+    (tmp_path / "grown").mkdir()
+    (tmp_path / "grown" / "other.warc").write_bytes(warc.record("response", {"WARC-Target-URI": "http://other/"}, b"x"))
+    write([1, 2], "append")
+    write([3], "append", compression="none")
+    write([], "append")
+    write([2], "append")
+    assert there() == ["http://a/1", "http://a/2", "http://a/2", "http://a/3", "http://other/"]
+    write([7], "overwrite")
+    assert there() == ["http://a/7"]
+    write([8], "append")
+    assert there() == ["http://a/7", "http://a/8"]
+    (tmp_path / "grown" / "part-00000000000000000000000000000000.warc").write_bytes(b"left by a failed task")
+    assert there() == ["http://a/7", "http://a/8"]
+    write([], "overwrite")
+    assert there() == []
+
+
 def test_unwanted_blocks_are_not_read():
     blocks = [b"A" * 10, b"B" * 10]
     raw = b"".join(warc.record(k, {"Content-Type": "text/plain"}, b) for k, b in zip(("response", "metadata"), blocks))
