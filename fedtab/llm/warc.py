@@ -72,16 +72,18 @@ def _predicate(f: Filter) -> tuple[str, Callable] | None:
     path = getattr(inner, "attribute", ())
     if len(path) != 1 or path[0] not in HEADERS:
         return None
-    test = {EqualTo: lambda v: v == inner.value, EqualNullSafe: lambda v: v == inner.value, In: lambda v: v in inner.value,
-            IsNull: lambda v: v is None, IsNotNull: lambda v: v is not None,
-            StringStartsWith: lambda v: v is not None and v.startswith(inner.value),
-            StringEndsWith: lambda v: v is not None and v.endswith(inner.value),
-            StringContains: lambda v: v is not None and inner.value in v}.get(type(inner))
+    value = getattr(inner, "value", None)
+    # Never null, also where the header is missing.
+    plain = {EqualNullSafe: lambda v: v == value, IsNull: lambda v: v is None, IsNotNull: lambda v: v is not None}.get(type(inner))
+    if plain is not None:
+        return path[0], (lambda v: not plain(v)) if negate else plain
+    if value is None or isinstance(inner, In) and None in value:  # null in place of false: left to Spark
+        return None
+    test = {EqualTo: lambda v: v == value, In: lambda v: v in value, StringStartsWith: lambda v: v.startswith(value),
+            StringEndsWith: lambda v: v.endswith(value), StringContains: lambda v: value in v}.get(type(inner))
     if test is None:
         return None
-    if negate:  # of null, NOT is null as well
-        return path[0], lambda v: v is not None and not test(v)
-    return path[0], test
+    return path[0], lambda v: v is not None and test(v) != negate  # of null, NOT is null as well
 
 
 def _listings(fs: pafs.FileSystem, at: str, names: Iterable[str]) -> dict[str, list[str]]:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualNullSafe, EqualTo, In, IsNotNull, IsNull, Not, StringContains, StringEndsWith, StringStartsWith
 
 import corpus_pipeline
 from fedtab.functions.common import stage
@@ -174,6 +175,30 @@ def test_archives_come_back(spark, tmp_path):
     assert spark.read.format("warc").load(folder).filter("warc_type in ('response', 'revisit')").count() == 0
 
 
+def test_pushed_filters_agree_with_spark(spark, tmp_path):
+    """Every kind of filter, plain and negated, on records with and without the header."""
+    warc.register(spark)
+    folder = str(tmp_path / "pushed")
+    rows = [(i, f"http://a/{i % 3}" if i % 4 else None, "p" * 200 + str(i % 2)) for i in range(1, 9)]
+    warc.archive_rows(spark.createDataFrame(rows, "page_id bigint, url string, html string")).write.format("warc").mode("append").save(folder)
+    everything = spark.read.format("warc").load(folder)
+    held = spark.createDataFrame(everything.collect(), everything.schema)
+    conditions = [f"{c} {test}" for c, v in (("refers_to", "<urn:page:1>"), ("target_uri", "http://a/1"), ("warc_type", "response")) for test in (
+        f"= '{v}'", f"<=> '{v}'", "<=> NULL", f"IN ('{v}', 'b')", f"IN ('{v}', 'b', NULL)", "IS NULL", "IS NOT NULL", "= NULL",
+        f"LIKE '{v[:6]}%'", f"LIKE '%{v[-3:]}'", f"LIKE '%{v[2:5]}%'")]
+    for condition in conditions:
+        for full in (condition, f"NOT ({condition})", f"NOT ({condition}) AND record_id <> '<urn:page:3>'"):
+            got, want = (sorted(r.record_id for r in t.filter(full).select("record_id").collect()) for t in (everything, held))
+            assert got == want, full
+    names = ["refers_to"]
+    for f, missing in ((EqualNullSafe(names, "a"), False), (EqualNullSafe(names, None), True), (IsNull(names), True), (IsNotNull(names), False)):
+        assert warc._predicate(f)[1](None) is missing and warc._predicate(Not(f))[1](None) is not missing
+    for f in (EqualTo(names, "a"), In(names, ("a", "b")), StringStartsWith(names, "a"), StringEndsWith(names, "a"), StringContains(names, "a")):
+        for value in (None, "a", "x"):
+            assert warc._predicate(f)[1](value) is (value == "a") and warc._predicate(Not(f))[1](value) is (value == "x")
+    assert warc._predicate(In(names, ("a", None))) is None and warc._predicate(Not(In(names, ("a", None)))) is None
+
+
 def test_archives_grow_by_appends(spark, tmp_path):
     warc.register(spark)
     folder = str(tmp_path / "grown")
