@@ -102,12 +102,12 @@ def dataset_row_counts(spark, d):
 
 
 def stored_run(spark, d):
-    """A quickly trained federated run, an isolated and a centralized one in the artifact store."""
+    """A federated run, an isolated and a centralized one in the artifact store, trained for the default number of epochs."""
     base = new_path(spark, "artifacts")
     t = fx.txn(spark, d)
     scalers = pin_small(prep.fit_scaler(t, S))
     shards = tr.pack_shards(prep.scale(t, scalers, S), S)
-    trained = pin_small(tr.train_clients(shards, mlp.initial_weights(4, 42), 4, 1).select("client", "n", "w"))
+    trained = pin_small(tr.train_clients(shards, mlp.initial_weights(4, 42), 4, 20).select("client", "n", "w"))
     shared = pin_small(tr.weighted_average(trained.withColumn("client", F.lit("*")), ["client"]).select("client", "w"))
     names = sorted(fx.CLIENTS)
     for run_id, arm, w, s, cl in (("iso", "isolated_real", trained.select("client", "w"), scalers, names),
