@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fedtab.llm import exact, fingerprints, jaccard, language, packing, records, toxicity, transducer, urls, warc
+from fedtab.llm import (decontaminate, exact, fingerprints, importance, jaccard, language, packing, records, spelling, toxicity, transducer, urls,
+                        warc)
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_bpe_round_trip": transducer.op9_bpe_round_trip,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_importance": importance.op13_importance,
 }
 SQL = {
     "op4_exact_dedup": exact.SQL,
