@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.comoments import co_moments, pair_correlations
 from ..functions.common import null_safe_join, r, safe_div, unpivot
 from ..functions.prefix import quantiles
 from ..spec import TableSpec
@@ -41,19 +41,9 @@ def column_profile(df: DataFrame, spec: TableSpec, groups: Sequence[str] = ("cli
 def correlations(df: DataFrame, spec: TableSpec, groups: Sequence[str] = ("client",)) -> DataFrame:
     """Pearson r of every column pair per group, long form; NULL where a column is constant.
 
-    One aggregate over the wide rows. ``covar_samp`` and ``stddev_samp`` are the numerically
-    stable central-moment forms and combine map-side.
+    The co-moments of a group are one matrix per task, merged in a tree, however many columns there are.
     """
-    feats = list(spec.features)
-    pairs = list(combinations(range(len(feats)), 2))
-    sds = [F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(feats)]
-    covs = [F.covar_samp(feats[i], feats[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    wide = df.groupBy(*groups).agg(*sds, *covs)
-    cells = F.array(*[F.struct(
-        F.lit(p).alias("pair"), F.lit(feats[i]).alias("col_a"), F.lit(feats[j]).alias("col_b"),
-        safe_div(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}")).alias("r"))
-        for p, (i, j) in enumerate(pairs)])
-    return wide.select(*groups, F.inline(cells))
+    return pair_correlations(co_moments(df, spec.features, groups), spec.features, groups)
 
 
 def top_correlations(df: DataFrame, spec: TableSpec, k: int = 5,
