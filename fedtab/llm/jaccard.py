@@ -13,7 +13,7 @@ hashes.
    together. Elements in one node only are dropped by a filter before anything is shuffled; element groups
    with the same members are processed once.
 3. Within a group a dual descent of signature trees finds the pairs that may link. Large groups are split into
-   blocks, one task a pair of blocks. A round proposes, in each group, the pairs that would join its parts, those
+   classes of like size and these into blocks, one task a pair of blocks whose sizes allow a link. A round proposes, in each group, the pairs that would join its parts, those
    with the largest possible overlap first, and in further rounds some more for each member (``MORE`` in the
    second, that many times more in each one after it); the proposed pairs are verified on their full sets;
    verified links join components, refuted pairs are not proposed again. A group is looked at again only if
@@ -27,6 +27,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ from fedtab.functions.common import stage
 from fedtab.llm.components import components
 from fedtab.llm.exact import BROADCAST_KEYS, located
 from fedtab.llm.shingles import mix, shingle_sets
+from fedtab.llm.staging import Stages
 from fedtab.llm.signatures import Rule, bitmap, candidates
 
 LOW_PART = 4
@@ -45,6 +47,10 @@ FREQUENT = 64
 FREQUENT_KEPT = 1_000_000
 FILTER_BITS = 1 << 27
 BLOCK = 2048
+#: Size classes that a link may span; bits of a block's number within its class.
+REACH, BLOCK_BITS = 2, 20
+#: Pairs that are sifted at once.
+SIFT = 4096
 MORE = 4
 GROUP = ["token", "i", "j"]
 _SIGN = np.uint64(1 << 63)
@@ -153,7 +159,7 @@ def _memberships(nodes: DataFrame, rule: Rule) -> DataFrame:
         often, order, flags = sent.value
         bits = len(flags) * 8
         for batch in batches:
-            tokens, nodes_out = [], []
+            tokens, nodes_out, sizes = [], [], []
             for node, n, least in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
                 x = least.values.to_numpy()
                 kind = np.zeros(len(x), np.int64)
@@ -167,29 +173,44 @@ def _memberships(nodes: DataFrame, rule: Rule) -> DataFrame:
                 first = first[((flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) | (first >= low)]
                 tokens.append(first)
                 nodes_out += [node.as_py()] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(nodes_out, pa.binary())],
-                                             names=["token", "node"])
+                sizes += [n] * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(nodes_out, pa.binary()),
+                                              pa.array(sizes, pa.int64())], names=["token", "node", "n"])
 
-    return nodes.select("node", "n", "least").mapInArrow(run, "token bigint, node binary")
+    return nodes.select("node", "n", "least").mapInArrow(run, "token bigint, node binary, n bigint")
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """Memberships of one element for every distinct set of two or more members, with the number of blocks."""
+    """Memberships (token, node, n, c) of one element for every distinct set of two or more members; c is their number."""
     sums = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
     by_token = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), *sums).filter("c > 1")
-    chosen = by_token.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select(
-        "token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    chosen = by_token.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token", "c")
     return members.join(chosen, "token")
 
 
-def _dealt(groups: DataFrame) -> DataFrame:
-    """A row for every pair of blocks a member has a part in: pair (i, j), its side."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return (groups.withColumn("block", block).withColumn("other", other)
-            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-            .withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("block") == F.col("j")).cast("int")))
-            .select(*GROUP, "side", "node"))
+def _dealt(groups: DataFrame, rule: Rule) -> DataFrame:
+    """A row for every pair of blocks a member has a part in: pair (i, j), its side.
+
+    A group of at most ``BLOCK`` members is one block. In a larger one the upper levels of the tree are rows: its
+    members fall into classes by size, so narrow that linking sets are at most ``REACH`` classes apart, each class into
+    blocks; a pair of blocks whose sizes rule out a link is dropped before any member is dealt to it."""
+    step = max(math.log(rule.den / rule.num) / REACH * (1 + 1e-9), 0.01)
+    small = groups.filter(F.col("c") <= BLOCK).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")
+    large = groups.filter(F.col("c") > BLOCK).withColumn("k", F.floor(F.log("n") / step).cast("int"))
+    classes = large.groupBy("token", "k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    classes = stage(classes.groupBy("token").agg(F.collect_list(F.struct("k", "blocks")).alias("classes")))
+    met = large.join(_sized(classes), "token")
+    own = F.get(F.filter("classes", lambda x: x["k"] == F.col("k")), F.lit(0))["blocks"]
+
+    def cell(k, b):
+        return k * F.lit(1 << BLOCK_BITS) + b
+    near = F.filter("classes", lambda x: F.abs(x["k"] - F.col("k")) <= REACH)
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda b: cell(x["k"], b))))
+    pairs = (met.withColumn("block", cell(F.col("k"), F.pmod(F.xxhash64("node"), own).cast("int"))).withColumn("others", others)
+             .select("token", "node", "block", F.explode_outer("others").alias("other"))
+             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+             .withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("block") == F.col("j")).cast("int"))))
+    return small.unionByName(pairs.select(*GROUP, "side", "node"))
 
 
 def _propose(rule: Rule, group: list[dict], share: int) -> tuple[list[tuple[bytes, bytes]], bool]:
@@ -202,28 +223,35 @@ def _propose(rule: Rule, group: list[dict], share: int) -> tuple[list[tuple[byte
     bitmaps = [np.frombuffer(m["signature"], "<u8") for m in group]
     sides = np.asarray([m["side"] for m in group])
     side = sides if group[0]["i"] != group[0]["j"] else None
-    refuted = [set(m["refuted"] or ()) for m in group]
-    found = [(a, b, o / (sizes[a] + sizes[b])) for x, y, over in
-             candidates(rule, sizes, bitmaps, np.asarray([m["first"] for m in group], np.int64), labels, side)
-             for a, b, o in zip(x.tolist(), y.tolist(), over.tolist())]
-    found = [(a, b, s) for a, b, s in found if not (group[b]["node"] in refuted[a] or group[a]["node"] in refuted[b])]
-    parent = list(range(len(names)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    kept, had = [], [0] * len(group)
-    for a, b, s in sorted(found, key=lambda p: -p[2]):
-        ra, rb = root(int(labels[a])), root(int(labels[b]))
-        if ra != rb or (had[a] < share and had[b] < share):
-            parent[ra] = rb
-            had[a] += 1
-            had[b] += 1
-            kept.append((a, b))
-    return [tuple(sorted((group[a]["node"], group[b]["node"]))) for a, b in kept], len(kept) < len(found)
+    place = {m["node"]: k for k, m in enumerate(group)}
+    never = {x * len(group) + place[n] for x, m in enumerate(group) for n in m["refuted"] or () if n in place}
+    parts = list(candidates(rule, sizes, bitmaps, np.asarray([m["first"] for m in group], np.int64), labels, side))
+    if not parts:
+        return [], False
+    a, b, over = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
+    del parts
+    if never:
+        known = np.fromiter(never, np.int64, len(never))
+        new = ~(np.isin(a * len(group) + b, known) | np.isin(b * len(group) + a, known))
+        a, b, over = a[new], b[new], over[new]
+    total = len(a)
+    best = np.argsort(-(over / (sizes[a] + sizes[b])), kind="stable").astype(np.int32)
+    a, b = a.astype(np.int32)[best], b.astype(np.int32)[best]
+    del over, best
+    part = labels.copy()  # the part of the group each member is in by now
+    had = np.zeros(len(group), np.int64)
+    kept: list[tuple[int, int]] = []
+    for at in range(0, total, SIFT):
+        x, y = a[at:at + SIFT], b[at:at + SIFT]
+        open_ = (part[x] != part[y]) | ((had[x] < share) & (had[y] < share))  # shut ones stay shut
+        for i, j in zip(x[open_].tolist(), y[open_].tolist()):
+            if part[i] != part[j] or (had[i] < share and had[j] < share):
+                if part[i] != part[j]:
+                    part[part == part[i]] = part[j]
+                had[i] += 1
+                had[j] += 1
+                kept.append((i, j))
+    return [tuple(sorted((group[i]["node"], group[j]["node"]))) for i, j in kept], len(kept) < total
 
 
 def _proposals(members: DataFrame, rule: Rule, share: int) -> DataFrame:
@@ -261,12 +289,13 @@ def _proposals(members: DataFrame, rule: Rule, share: int) -> DataFrame:
     return members.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a binary, b binary, token bigint, i int, j int")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, rule: Rule, text_col: str) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, rule: Rule, text_col: str,
+            kept: Stages) -> DataFrame:
     """pairs with ``linked``, decided on the full sets. Only the texts of the nodes in question are fetched."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = stage(named.join(nodes.select("node", "__file", "__row"), "node"))
+    places = kept.put("places", named.join(nodes.select("node", "__file", "__row"), "node"))
     texts = docs.select("__file", "__row", F.col(text_col).cast("string").alias("text"))
-    texts = stage(texts.join(_sized(places), ["__file", "__row"]).select("node", "text"))
+    texts = kept.put("texts", texts.join(_sized(places), ["__file", "__row"]).select("node", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -301,7 +330,9 @@ def link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str = "
     docs = located(docs)
     rows = stage(make_sets(docs, width, rule, id_col, text_col))
     nodes = _distinct_sets(rows)
-    groups = stage(_dealt(_groups(stage(_memberships(nodes, rule)))))
+    kept = Stages(docs.sparkSession)
+    groups = kept.put("groups", _dealt(_groups(kept.put("members", _memberships(nodes, rule))), rule))
+    kept.drop("members")
     entries = stage(nodes.join(_sized(stage(groups.select("node").distinct())), "node", "left_semi")
                     .select("node", "n", "signature", F.coalesce(F.get("least", F.lit(0)), F.lit(0)).alias("first")))
     spark = docs.sparkSession
@@ -313,17 +344,23 @@ def link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str = "
             apart = members.groupBy(*GROUP).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
             members = members.join(apart.select(*GROUP), GROUP, "left_semi")
             members = members.join(refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "node"), "node", "left")
+            # few groups are still open: only their members' signatures are fetched
+            members = kept.put("open", members)
+            asked = kept.put("asked", members.select("node").distinct())
+            known = entries.join(_sized(asked), "node", "left_semi")
         else:
             members = members.withColumn("refuted", F.lit(None).cast("array<binary>"))
-        found = stage(_proposals(members.join(entries, "node"), rule, MORE ** rounds if rounds else 0))
-        pairs = stage(found.filter("a IS NOT NULL").select("a", "b").distinct())
+            known = entries
+        found = kept.put("found", _proposals(members.join(known, "node"), rule, MORE ** rounds if rounds else 0))
+        pairs = kept.put("pairs", found.filter("a IS NOT NULL").select("a", "b").distinct())
         if pairs.isEmpty():
             break
-        judged = stage(_verify(pairs, nodes, docs, width, rule, text_col))
+        judged = stage(_verify(pairs, nodes, docs, width, rule, text_col, kept))
+        kept.drop("places", "texts")
         bad = judged.filter("not linked").select("a", "b")
         refuted = bad if refuted is None else refuted.unionByName(bad)
-        labels = stage(_joined(labels, judged.filter("linked").select("a", "b")))
-        groups = stage(groups.join(found.filter("a IS NULL").select(*GROUP), GROUP, "left_semi"))
+        labels = kept.put("labels", _joined(labels, judged.filter("linked").select("a", "b")))
+        groups = kept.put("groups", groups.join(found.filter("a IS NULL").select(*GROUP), GROUP, "left_semi"))
         rounds += 1
     member = F.coalesce("component", "node")
     whole = rows.join(labels, "node", "left").withColumn("__group", F.when(F.col("n") > 0, member))

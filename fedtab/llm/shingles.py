@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 256 << 10
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
@@ -31,14 +31,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**0..r**n and their inverses, kept and grown as texts need them."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = max(n + 1, CHUNK_BYTES + 2)
-        for key, base in (("up", _R), ("down", _R_INV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[key] = np.multiply.accumulate(a)
-    return _POWERS["up"], _POWERS["down"]
+    """r**0..r**n and their inverses; kept for a chunk, made anew for a longer text."""
+    if n <= CHUNK_BYTES and _POWERS:
+        return _POWERS["up"], _POWERS["down"]
+    out = []
+    for base in (_R, _R_INV):
+        a = np.full(max(n, CHUNK_BYTES) + 2, base, np.uint64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a, out=a))
+    if n <= CHUNK_BYTES:
+        _POWERS["up"], _POWERS["down"] = out
+    return out[0], out[1]
 
 
 def _sets_of(data: np.ndarray, ends: np.ndarray, width: int) -> Iterator[np.ndarray]:
