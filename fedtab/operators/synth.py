@@ -203,11 +203,40 @@ def clean_body(body: Column) -> Column:
         .otherwise(t)
 
 
+_SEGMENT = r'"(?:[^"\\]|\\.)*+"|[^"]++|"'
+_LITERAL = r"([:\[,]\s*)(-?Infinity|NaN)(?=\s*[,\]}])"
+
+
+def _segments(body: Column) -> Column:
+    """A JSON text as its strings and what lies between them."""
+    return F.regexp_extract_all(body, F.lit(_SEGMENT), F.lit(0))
+
+
+def quote_literals(body: Column) -> Column:
+    """JSON text in which the bare numbers NaN, Infinity and -Infinity, where a value may stand, are quoted; strings are left
+    as they are."""
+    quoted = F.transform(_segments(body), lambda x: F.when(F.startswith(x, F.lit('"')), x).otherwise(
+        F.regexp_replace(x, _LITERAL, '$1"$2"')))
+    return F.when(body.rlike("NaN|Infinity"), F.array_join(quoted, "")).otherwise(body)
+
+
+def one_value(body: Column) -> Column:
+    """The text, or NULL if something follows the object it opens with (the parser would not look at it)."""
+    bare = F.array_join(F.transform(_segments(body), lambda x: F.when(F.startswith(x, F.lit('"')), "x").otherwise(x)), "")
+    tokens = F.regexp_extract_all(bare, F.lit(r"[{\[]+|[}\]]+|[^\s{}\[\]]+"), F.lit(0))
+
+    def step(a, x):
+        up = F.when(F.substring(x, 1, 1).isin("{", "["), F.length(x)).when(F.substring(x, 1, 1).isin("}", "]"), -F.length(x)).otherwise(0)
+        return F.struct((a["depth"] + up).alias("depth"), (a["after"] | a["closed"]).alias("after"), (a["depth"] + up <= 0).alias("closed"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("after"), F.lit(False).alias("closed"))
+    return F.when(~F.aggregate(tokens, start, step)["after"], body)
+
+
 def parse_responses(responses: DataFrame, spec: TableSpec, keep: Sequence[str] = ("client", "request", "batch_n")) -> DataFrame:
-    """Well-formed rows of responses(..., body): objects holding every feature as a number or a
+    """Well-formed rows of responses(..., body): objects holding every feature as a number (also a bare NaN or Infinity) or a
     numeric text. Anything else is dropped; a body that is no JSON or has no row list gives none.
     ``seq`` numbers the surviving rows of a response."""
-    v = F.try_parse_json(clean_body(F.col("body")))
+    v = F.try_parse_json(one_value(quote_literals(clean_body(F.col("body")))))
     rows = F.try_variant_get(v, "$.rows", "array<variant>")
     def field(c):
         # numbers, booleans and numeric texts convert; a missing key gives NULL

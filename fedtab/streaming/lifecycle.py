@@ -96,10 +96,12 @@ def run_events(documents: DataFrame, idle: int = 3600, grace: int = 600, late: s
 
 
 @contextmanager
-def state_settings(spark):
-    """The state store that the processor needs, while its query starts and runs."""
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    for k, v in STATE_CONF.items():
+def state_settings(spark, bounded: bool = False):
+    """The state store that the processors need, while a query starts and runs. ``bounded``: no micro-batches without data;
+    with timers in processing time a run over what is there would not end otherwise."""
+    wanted = STATE_CONF | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if bounded else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield

@@ -1,3 +1,5 @@
+import json
+import random
 from statistics import NormalDist
 
 import numpy as np
@@ -81,6 +83,38 @@ def test_tolerant_parsing(spark):
         assert got.get(k, []) == want, k
 
 
+def test_bare_literals_parse_as_a_tolerant_reader_does(spark):
+    """Random bodies with non-finite literals as values, in strings, escaped and where no value may stand."""
+    rng = random.Random(8)
+    atoms = ["NaN", "Infinity", "-Infinity", "1", "2.5", '"3"', '"NaN"', '"inf"', "null", '"a, NaN]"', '"\\\\"', '"\\", NaN"', "-NaN", "NaNx", "[NaN, Infinity]", '{"q":-Infinity}']
+    bodies = ['{"rows": [NaN, {"x": NaN, "y": Infinity}]}', '{"rows": [], "NaN": NaN}', '{NaN: 1, "rows": [{"x": 1, "y": 2}]}', '{"rows": [{"x": 1, "y": NaN}]} "',
+              '{"rows": [{"x": NaN\n , "y":\t-Infinity }]}', 'NaN', '[NaN]', '{"rows": NaN}', '{"rows": [{"x": 1, "y": 2}], "z": "NaN}']
+    for _ in range(300):
+        rows = ", ".join(rng.choice(['{"x": %s, "y": %s}' % (rng.choice(atoms), rng.choice(atoms)), rng.choice(atoms)]) for _ in range(rng.randrange(4)))
+        bodies.append('{"rows": [%s]%s}' % (rows, rng.choice(["", ', "z": %s' % rng.choice(atoms)])))
+
+    def plain(body):
+        try:
+            rows = json.loads(body)
+        except ValueError:
+            return []
+        rows = rows.get("rows") if isinstance(rows, dict) else None
+        out = []
+        for row in rows if isinstance(rows, list) else []:
+            try:
+                out.append((float(row["x"]), float(row["y"])))
+            except (TypeError, ValueError, KeyError):
+                pass
+        return out
+    df = spark.createDataFrame([(str(i), 0, 50, b) for i, b in enumerate(bodies)], "client string, request int, batch_n int, body string")
+    got = {}
+    for r in synth.parse_responses(df, SPEC).orderBy("client", "seq").collect():
+        got.setdefault(int(r["client"]), []).append((r["x"], r["y"]))
+    for i, b in enumerate(bodies):
+        assert str(got.get(i, [])) == str(plain(b)), b
+    assert sum(map(len, got.values())) > 30
+
+
 def test_requests_are_bounded_and_counted(spark):
     t = spark.createDataFrame([("C", 120), ("D", 50), ("E", 0)], "client string, n_target bigint")
     plan = synth.request_plan(t)

@@ -132,3 +132,33 @@ def test_a_file_that_became_shorter_is_an_error(tmp_path):
     (tmp_path / "x.jsonl").write_text("one\n")
     with pytest.raises(ValueError, match="shorter"):
         reader.partitions(seen, growing.GrowingReader({"path": str(tmp_path)}).latestOffset())
+
+
+# ---- requests that wait for their run -----------------------------------------------------
+
+def test_requests_wait_for_their_run(spark):
+    from fedtab.sources.store import save_artifact
+    from fedtab.streaming import waiting
+    base, path, out, ck = (new_path(spark, n) for n in ("store", "requests", "out", "ck"))
+
+    def store(run_id):
+        save_artifact(spark.createDataFrame([("centralized_real", None)], "arm string, clients array<string>"), base, "manifests", run_id)
+
+    def ask(rows):
+        spark.createDataFrame(rows, "request_id int, run_id string, features map<string,double>").write.mode("append").parquet(path)
+
+    def go(wait):
+        asked = spark.readStream.schema("request_id int, run_id string, features map<string,double>").parquet(path)
+        with lc.state_settings(spark, bounded=True):
+            st.run_available(waiting.await_runs(asked, waiting.manifest_stream(spark, base), wait), st.append_sink(out), ck, "update")
+        got = spark.read.schema("request_id int, run_id string, features map<string,double>, known boolean").parquet(out)
+        return sorted((r.request_id, r.known, r.features) for r in got.collect())
+    store("old")
+    ask([(1, "old", {"x": 1.0}), (2, "late", {"x": 2.5, "y": None}), (3, "never", None), (4, None, {})])
+    assert go(3600) == [(1, True, {"x": 1.0})]
+    store("late")  # stored after the stream began
+    first = [(1, True, {"x": 1.0}), (2, True, {"x": 2.5, "y": None})]
+    assert go(3600) == first
+    ask([(5, "late", {}), (6, "never", {})])
+    assert go(0) == first + [(5, True, {}), (6, False, {})]  # the earlier request of that run has an hour to wait
+    assert go(0) == first + [(5, True, {}), (6, False, {})]
