@@ -182,10 +182,10 @@ def _memberships(nodes: DataFrame, rule: Rule) -> DataFrame:
 
 def _groups(members: DataFrame) -> DataFrame:
     """Memberships (token, node, n, c) of one element for every distinct set of two or more members; c is their number."""
-    sums = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
+    sums = [F.bit_xor(F.xxhash64(F.lit(s), "node")).alias(f"s{s}") for s in (1, 2)]  # a node is in a group once
     by_token = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), *sums).filter("c > 1")
     chosen = by_token.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token", "c")
-    return members.join(chosen, "token")
+    return members.join(_sized(stage(chosen)), "token")
 
 
 def _dealt(groups: DataFrame, rule: Rule) -> DataFrame:

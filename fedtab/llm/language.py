@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fedtab.functions.common import pin_small
+
 UNKNOWN = "und"
 DOC_GRAMS = 300
 PROFILE_GRAMS = 400
@@ -77,7 +79,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     What reaches the driver is ``size`` n-grams a language.
     """
     light = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    rates = light.groupBy(F.col(lang_col).alias("__lang")).agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("__rate"))
+    # one row a language: broadcast, so the draw is a filter on the scan and no text is shuffled
+    rates = pin_small(light.groupBy(F.col(lang_col).alias("__lang")).agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("__rate")))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) / 1e6
     drawn = light.join(rates, F.col(lang_col) == F.col("__lang")).filter(draw < F.col("__rate"))
 

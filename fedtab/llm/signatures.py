@@ -14,7 +14,7 @@ import numpy as np
 
 LEAF = 16
 FAN_OUT = 8
-BITS_PER_ELEMENT = 4
+BITS_PER_ELEMENT = 2
 LEAST_BITS, MOST_BITS = 64, 1 << 17
 
 

@@ -9,7 +9,7 @@ gradient of the document's likelihood is shared out over its sentences by their
 scores then locate the offending sentences.
 
 The model is fitted on a bounded sample: up to ``TOXIC_ROWS`` labelled documents of label 1 and ``CLEAN_ROWS`` of
-label 0, drawn by a hash of the identifier, none longer than ``TRAINING_CHARS`` characters. The sample is fitted
+label 0, drawn by a hash of the identifier until ``TOXIC_CHARS`` and ``CLEAN_CHARS`` characters are full, each whole. The sample is fitted
 in one task; scoring runs over all rows and whole texts.
 
 Defined results: null and empty texts have no sentence and the score of the leak alone; a label other than 0 and 1
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fedtab.functions.common import fetch_small
 from fedtab.llm.encode import PieceCache
 from fedtab.llm.language import fold
 
@@ -36,7 +37,10 @@ BUCKETS = 1 << 20
 GRAM = 5
 TOXIC_ROWS = 4_000
 CLEAN_ROWS = 6_000
-TRAINING_CHARS = 20_000
+#: Characters of the sample by label; a document is taken whole or not at all.
+TOXIC_CHARS, CLEAN_CHARS = 16_000_000, 24_000_000
+#: Documents of each label that are taken whatever their length.
+LEAST_EACH = 5
 ROUNDS = 60
 RATE = 0.2
 SPARSITY = 2e-4
@@ -116,16 +120,25 @@ def fit(texts: Iterable[str], labels: np.ndarray, rounds: int = ROUNDS) -> tuple
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic") -> DataFrame:
-    """text and label of the bounded sample. Identifiers are drawn from the labels alone, so at most
-    ``TOXIC_ROWS + CLEAN_ROWS`` of them are broadcast to the documents."""
+    """text and label of the bounded sample: at most ``TOXIC_ROWS + CLEAN_ROWS`` labelled documents, drawn by the hash of
+    their identifiers until ``TOXIC_CHARS`` and ``CLEAN_CHARS`` characters are full. Texts are whole; one that is longer
+    than what is left is passed over, but for the first ``LEAST_EACH`` of a label."""
     known = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label")))
     order = [F.xxhash64(F.col("__id").cast("string")), "__id"]
     drawn = (known.filter("__label = 1").orderBy(*order).limit(TOXIC_ROWS)
              .unionByName(known.filter("__label = 0").orderBy(*order).limit(CLEAN_ROWS)))
-    texts = docs.filter(F.length(text_col) <= TRAINING_CHARS).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    return (texts.join(F.broadcast(drawn), "__id").select("__id", "text", F.col("__label").alias("label"))
-            .dropDuplicates(["__id", "text"]))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    sizes = texts.join(F.broadcast(drawn), "__id").groupBy("__id", "__label").agg(F.sum(F.length("text")).alias("chars"))
+    left, taken, chosen = {0: CLEAN_CHARS, 1: TOXIC_CHARS}, {0: 0, 1: 0}, []
+    for i, y, chars in fetch_small(sizes.orderBy(*order).select("__id", "__label", "chars"), TOXIC_ROWS + CLEAN_ROWS):
+        if chars <= left[y] or taken[y] < LEAST_EACH:
+            chosen.append((i, y))
+            left[y] -= chars
+            taken[y] += 1
+    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType())])
+    picked = docs.sparkSession.createDataFrame(chosen, schema)
+    return texts.join(F.broadcast(picked), "__id").select("__id", "text", "label").dropDuplicates(["__id", "text"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:

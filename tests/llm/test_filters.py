@@ -2,6 +2,9 @@
 
 import gzip
 import io
+import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -99,6 +102,36 @@ def test_toxicity_locates_sentences(spark):
     assert sorted(r.doc_id for r in toxicity.keep_clean(docs, model).collect()) == [2, 3, 4]
 
 
+def test_toxicity_learns_from_long_documents(spark, monkeypatch):
+    """Documents of some 27,000 characters count like others; beyond the budget whole documents are passed over."""
+    rows = [(k, ". ".join([sentence(k, 3000), "zzrotten zzvile" if k % 2 else "plain words", sentence(k + 900, 200)])) for k in range(60)]
+    docs, labels = documents(spark, rows), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    weights, _ = toxicity.train(docs, labels)
+    assert (weights != 0).any()
+    size = max(len(t) for _, t in rows)
+    monkeypatch.setattr(toxicity, "TOXIC_CHARS", 12 * size)
+    monkeypatch.setattr(toxicity, "CLEAN_CHARS", 1)
+    got = toxicity.training_sample(docs, labels).collect()
+    assert {r.text for r in got} <= {t for _, t in rows}
+    assert sum(r.label for r in got) >= 12 and sum(1 - r.label for r in got) == toxicity.LEAST_EACH
+
+
+def test_toxicity_score_is_the_noisy_or_of_its_sentences(spark):
+    """Scores of a document against the formula over plain Python features."""
+    rng = random.Random(3)
+    words = ["good", "awful", "Nasty", "tree", "naïve", "x1", "STONE"]
+    texts = [" ".join(rng.choice(words) + rng.choice([" ", ". ", "! ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(40)] + [None, "", "..."]
+    weights, bias = np.random.default_rng(1).exponential(0.4, toxicity.BUCKETS).astype(np.float32), -3.0
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (weights, bias)).collect()}
+    for i, text in enumerate(texts):
+        clean = 1 / (1 + math.exp(bias))  # the leak
+        for s in re.split(r"[.!?\n]+", text or ""):
+            z = bias + sum(float(weights[f]) for piece in set(s.split()) for f in toxicity.word_features(piece))
+            clean *= (1 + math.exp(bias)) / (1 + math.exp(z))
+        assert abs(got[i] - (1 - clean)) < 1e-6, text
+
+
 def test_toxicity_without_anything_to_learn(spark):
     docs = documents(spark, EDGES)
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
