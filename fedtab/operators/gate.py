@@ -64,27 +64,27 @@ def pass_counts(checked: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
         F.count_if(~F.col("passed")).alias("n_schema_errors"))
 
 
-def _both_sides(real: DataFrame, synthetic: DataFrame, spec: TableSpec, batch: Sequence[str]) -> DataFrame:
-    """Synthetic rows and, for every batch, the real rows of its client, told apart by ``side``."""
+def column_shape(real: DataFrame, synthetic: DataFrame, spec: TableSpec, batch: Sequence[str] = BATCH) -> DataFrame:
+    """Per batch and column 1 - KS statistic between the real and the synthetic distribution.
+
+    The real rows are summed up once per client, as a histogram over buckets of the value; every batch of the client is
+    compared with that. Only in buckets that could hold the largest gap are values looked at, on either side, and
+    the real ones of a bucket are collapsed once however many batches ask for it.
+    """
+    batch, client = list(batch), spec.client
+    keys, cell = [*batch, "column"], [client, "column", "__b"]
+    bucket = histogram_bucket(F.col("value")).alias("__b")
+    real_long = unpivot(real, [client], spec.features).select(client, "column", "value", bucket)
+    made_long = unpivot(synthetic, batch, spec.features).select(*keys, "value", bucket)
     batches = pin_small(synthetic.select(*batch).distinct())
-    r = null_safe_join(real.select(spec.client, *spec.features), batches, [spec.client])
-    return (r.select(*batch, *spec.features, F.lit(0).alias("side"))
-            .unionByName(synthetic.select(*batch, *spec.features, F.lit(1).alias("side"))))
-
-
-def column_shape(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
-                 batch: Sequence[str] = BATCH, sides: DataFrame | None = None) -> DataFrame:
-    """Per batch and column 1 - KS statistic between the real and the synthetic distribution."""
-    keys = [*batch, "column"]
-    sides = _both_sides(real, synthetic, spec, batch) if sides is None else sides
-    long = unpivot(sides, [*batch, "side"], spec.features)
-    base = long.select(*keys, "value", (1 - F.col("side")).cast("bigint").alias("a"), F.col("side").cast("bigint").alias("b"),
-                       histogram_bucket(F.col("value")).alias("__b"))
+    summary = stage(real_long.groupBy(*cell).agg(F.count(F.lit(1)).alias("a")))
+    hist = (null_safe_join(batches, summary, [client]).select(*keys, "__b", "a", F.lit(0).cast("bigint").alias("b"))
+            .unionByName(made_long.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("b")).withColumn("a", F.lit(0).cast("bigint")))
+            .groupBy(*keys, "__b").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     every = Window.partitionBy(*keys)
     upto = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = (base.groupBy(*keys, "__b").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-            .withColumns({"a1": F.sum("a").over(upto), "b1": F.sum("b").over(upto),
-                          "na": F.sum("a").over(every), "nb": F.sum("b").over(every)}))
+    hist = hist.withColumns({"a1": F.sum("a").over(upto), "b1": F.sum("b").over(upto),
+                             "na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
 
     def cdf(x, n):
         return safe_div(x, F.col(n))
@@ -97,30 +97,34 @@ def column_shape(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
     hot = pin_small(hist.filter((F.col("most") > F.col("best")) & (F.col("a") + F.col("b") > 1))
                     .select(*keys, "__b", "na", "nb", (F.col("a1") - F.col("a")).alias("a0"),
                             (F.col("b1") - F.col("b")).alias("b0")))
-    cum = running_totals(null_safe_join(base, hot.select(*keys, "__b"), [*keys, "__b"], "left_semi"),
-                         [*keys, "__b"], "value", ["a", "b"])
-    near = null_safe_join(cum, hot, [*keys, "__b"]).select(
+    asked = hot.select(*keys, "__b")
+    real_values = (null_safe_join(real_long, pin_small(asked.select(*cell).distinct()), cell, "left_semi")
+                   .groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("a")))
+    made_values = null_safe_join(made_long, asked, [*keys, "__b"], "left_semi").select(
+        *keys, "__b", "value", F.lit(0).cast("bigint").alias("a"), F.lit(1).cast("bigint").alias("b"))
+    values = (null_safe_join(asked, real_values, cell).select(*keys, "__b", "value", "a", F.lit(0).cast("bigint").alias("b"))
+              .unionByName(made_values))
+    near = null_safe_join(running_totals(values, [*keys, "__b"], "value", ["a", "b"]), hot, [*keys, "__b"]).select(
         *keys, F.abs(cdf(F.col("a0") + F.col("cum_a"), "na") - cdf(F.col("b0") + F.col("cum_b"), "nb")).alias("gap"))
     return hist.select(*keys, "gap").unionByName(near).groupBy(*keys).agg((1 - F.max("gap")).alias("score"))
 
 
-def pair_trends(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
-                batch: Sequence[str] = BATCH, sides: DataFrame | None = None) -> DataFrame:
-    """Per batch and column pair 1 - |r_real - r_synthetic| / 2; NULL where r is undefined."""
-    sides = _both_sides(real, synthetic, spec, batch) if sides is None else sides
-    c = correlations(sides, spec, [*batch, "side"])
-    a = F.max(F.when(F.col("side") == 0, F.col("r")))
-    b = F.max(F.when(F.col("side") == 1, F.col("r")))
-    return c.groupBy(*batch, "pair", "col_a", "col_b").agg((1 - F.abs(a - b) / 2).alias("score"))
+def pair_trends(real: DataFrame, synthetic: DataFrame, spec: TableSpec, batch: Sequence[str] = BATCH) -> DataFrame:
+    """Per batch and column pair 1 - |r_real - r_synthetic| / 2; NULL where r is undefined. The real side is computed once
+    per client."""
+    batch = list(batch)
+    made = correlations(synthetic, spec, batch)
+    own = correlations(real, spec, [spec.client]).select(spec.client, "pair", F.col("r").alias("__real"))
+    return null_safe_join(made, pin_small(own), [spec.client, "pair"], "left").select(
+        *batch, "pair", "col_a", "col_b", (1 - F.abs(F.col("__real") - F.col("r")) / 2).alias("score"))
 
 
 def fidelity(real: DataFrame, synthetic: DataFrame, spec: TableSpec,
              batch: Sequence[str] = BATCH) -> DataFrame:
     """Mean column shape, mean pair trend (undefined pairs left out) and their mean; a property
     with no defined score does not count."""
-    sides = stage(_both_sides(real, synthetic, spec, batch))
-    s = column_shape(real, synthetic, spec, batch, sides).groupBy(*batch).agg(F.avg("score").alias("column_shapes"))
-    p = pair_trends(real, synthetic, spec, batch, sides).groupBy(*batch).agg(F.avg("score").alias("pair_trends"))
+    s = column_shape(real, synthetic, spec, batch).groupBy(*batch).agg(F.avg("score").alias("column_shapes"))
+    p = pair_trends(real, synthetic, spec, batch).groupBy(*batch).agg(F.avg("score").alias("pair_trends"))
     a, b = F.col("column_shapes"), F.col("pair_trends")
     return null_safe_join(s, p, batch, "left").withColumn(
         "fidelity_score", F.when(a.isNull(), b).when(b.isNull(), a).otherwise((a + b) / 2))

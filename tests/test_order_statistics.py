@@ -86,3 +86,26 @@ def test_ks_equals_brute_force(spark):
         grid = np.unique(np.concatenate([real[c], syn[c]]))
         ks = np.max(np.abs(np.searchsorted(np.sort(real[c]), grid, "right") / 500 - np.searchsorted(np.sort(syn[c]), grid, "right") / 200))
         assert abs(got[c] - (1 - ks)) < 1e-12
+
+
+def test_ks_of_many_batches_shares_the_real_side(spark):
+    """Many batches of a client against SciPy-free KS; the real rows are summed up before they meet a batch."""
+    import numpy as np
+
+    from fedtab.operators import gate
+    from fedtab.spec import TableSpec
+    rng = np.random.default_rng(6)
+    spec = TableSpec(features=("v",), key=("id",))
+    real = {c: np.round(rng.normal(100, 3, 400), 2) for c in ("A", None)}
+    made = {(c, f"m{k}"): np.round(rng.normal(100 + k / 4, 3, 60), 2) for c in real for k in range(6)} | {("E", "m0"): np.ones(5)}
+    r = spark.createDataFrame([(c, float(v)) for c, x in real.items() for v in x], "client string, v double")
+    s = spark.createDataFrame([(c, m, float(v)) for (c, m), x in made.items() for v in x], "client string, mode string, v double")
+    df = gate.column_shape(r, s, spec)
+    got = {(x.client, x.mode): x.score for x in df.collect()}
+    for (c, m), y in made.items():
+        if c == "E":
+            assert got[c, m] is None  # no real row to compare with
+            continue
+        at = np.union1d(real[c], y)
+        gap = np.abs(np.searchsorted(np.sort(real[c]), at, "right") / len(real[c]) - np.searchsorted(np.sort(y), at, "right") / len(y)).max()
+        assert abs(got[c, m] - (1 - gap)) < 1e-12
