@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import literal_table
+from ..functions.common import literal_table, null_safe_join
 from ..spec import ARMS, METRICS, MODE_LABEL, RUN_DEFAULTS, VERDICT_LABEL
 
 
@@ -119,7 +119,7 @@ def _map(values: dict[str, str], col: str) -> Column:
 def row_counts(clients: DataFrame, rows: DataFrame, out: str = "n_rows") -> DataFrame:
     """Rows stored per client, 0 where a client has none."""
     n = rows.groupBy("client").agg(F.count("*").alias(out))
-    return clients.join(n, "client", "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
+    return null_safe_join(clients, n, ["client"], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
 
 
 def quality_panel(clients: DataFrame, candidates: DataFrame, validated: DataFrame,
@@ -128,7 +128,7 @@ def quality_panel(clients: DataFrame, candidates: DataFrame, validated: DataFram
     p = row_counts(clients, candidates, "n_candidates")
     p = row_counts(p, validated, "n_validated")
     rep = reports.select("client", "mode", "fidelity_score", "novelty_score", "mode_collapse_max", "batch_verdict")
-    return (p.join(rep, ["client", "mode"], "left")
+    return (null_safe_join(p, rep, ["client", "mode"], "left")
             .withColumns({"mode_label": _map(MODE_LABEL, "mode"),
                           "verdict_label": F.coalesce(_map(VERDICT_LABEL, "batch_verdict"), F.lit("-"))}))
 

@@ -33,11 +33,11 @@ def route_modes(clients: DataFrame, min_positives: int | None = None,
     if only is not None:
         clients = clients.filter(F.col("client").isin(*only))
     if modes is not None:
-        out = clients.join(modes, "client", "left")
+        out = null_safe_join(clients, modes, ["client"], "left")
     else:
         out = clients.withColumn("mode", F.when(F.col("n_pos") >= min_positives, MODE_STATISTICAL)
                                  .otherwise(MODE_AGGREGATE))
-    return out.withColumn("error", F.when(F.col("mode").isNull(), F.concat(F.lit("unknown client "), F.col("client"))))
+    return out.withColumn("error", F.when(F.col("mode").isNull(), F.concat(F.lit("unknown client "), F.coalesce("client", F.lit("NULL")))))
 
 
 # ---- statistical generator ----------------------------------------------------------------
@@ -265,7 +265,7 @@ def malformed_counts(requests: DataFrame, parsed: DataFrame) -> DataFrame:
     """Per client: requests, rows asked, rows kept, and sum(max(0, batch_n - parsed)); no re-request."""
     got = parsed.groupBy("client", "request").agg(F.count("*").alias("n_parsed"))
     n = F.coalesce("n_parsed", F.lit(0))
-    return (requests.join(got, ["client", "request"], "left").groupBy("client")
+    return (null_safe_join(requests, got, ["client", "request"], "left").groupBy("client")
             .agg(F.count("*").alias("n_requests"), F.sum("batch_n").cast("bigint").alias("n_asked"),
                  F.sum(F.least(F.col("batch_n"), n)).cast("bigint").alias("n_kept"),
                  F.sum(F.greatest(F.lit(0), F.col("batch_n") - n)).cast("bigint").alias("n_malformed_rows_dropped")))
@@ -275,10 +275,10 @@ def generation_log(targets: DataFrame, candidates: DataFrame, requests: DataFram
                    model: str | None = None) -> DataFrame:
     """One row per client of ``targets(client, mode, n_pos, n_target)``; 0 where nothing was made."""
     made = candidates.groupBy("client").agg(F.count("*").alias("n_generated"))
-    out = targets.join(made, "client", "left").select(
+    out = null_safe_join(targets, made, ["client"], "left").select(
         "client", "mode", F.col("n_pos").alias("n_real_fraud_used"), F.col("n_target").alias("n_requested"),
         F.coalesce("n_generated", F.lit(0)).cast("bigint").alias("n_generated"))
     if requests is not None:
-        out = out.join(requests.select("client", "n_requests", "n_malformed_rows_dropped"), "client", "left")
+        out = null_safe_join(out, requests.select("client", "n_requests", "n_malformed_rows_dropped"), ["client"], "left")
         out = out.withColumn("model", F.when(F.col("mode") == MODE_AGGREGATE, F.lit(model)))
     return out

@@ -124,6 +124,26 @@ def test_requests_are_bounded_and_counted(spark):
     assert m["C"]["n_malformed_rows_dropped"] == 70 and m["C"]["n_kept"] == 50 and m["D"]["n_kept"] == 0
 
 
+def test_a_client_without_a_name_is_a_client(spark):
+    """NULL clients meet their own rows in routing, counts and logs."""
+    from fedtab.operators import runs
+    clients = spark.createDataFrame([("A", 5), (None, 7)], "client string, n_pos int")
+    modes = spark.createDataFrame([(None, "m"), ("B", "q")], "client string, mode string")
+    got = {r.client: (r.mode, r.error) for r in synth.route_modes(clients, modes=modes).collect()}
+    assert got == {"A": (None, "unknown client A"), None: ("m", None)}
+    assert synth.route_modes(clients.filter("client IS NULL"), modes=modes.limit(0)).first().error == "unknown client NULL"
+    rows = spark.createDataFrame([(None,), (None,), ("A",)], "client string")
+    assert {r.client: r.n_rows for r in runs.row_counts(clients, rows).collect()} == {"A": 1, None: 2}
+    requests = spark.createDataFrame([(None, 0, 3), ("A", 0, 2)], "client string, request int, batch_n int")
+    parsed = spark.createDataFrame([(None, 0, 1), (None, 0, 2)], "client string, request int, seq int")
+    assert {r.client: r.n_malformed_rows_dropped for r in synth.malformed_counts(requests, parsed).collect()} == {None: 1, "A": 2}
+    targets = spark.createDataFrame([(None, "m", 1, 3)], "client string, mode string, n_pos int, n_target int")
+    assert synth.generation_log(targets, rows).first().n_generated == 2
+    reports = spark.createDataFrame([(None, "m", 0.5, 0.5, 0.5, "PASS")], "client string, mode string, fidelity_score double, novelty_score double, mode_collapse_max double, batch_verdict string")
+    panel = runs.quality_panel(targets, rows, rows, reports).first()
+    assert (panel.n_candidates, panel.n_validated, panel.fidelity_score) == (2, 2, 0.5)
+
+
 # ---- generator ----------------------------------------------------------------------------
 
 def test_normal_quantile_is_accurate():
