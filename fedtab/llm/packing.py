@@ -3,11 +3,11 @@
 Documents lie in identifier order as one stream of ids (each document's ids, then a separator). A window is a
 run of at most ``window`` ids; its padding is what it lacks of ``window``, and none at a power of two. Cuts
 may fall at document ends (free), sentence ends (``SENTENCE_CUT``) or, inside a stretch without either that is
-longer than ``FORCED_STEP``, at forced places (``FORCED_CUT``). The cost of a window is its padding, the
+longer than ``FORCED_STEP`` (a quarter of a small window), at forced places (``FORCED_CUT``). The cost of a window is its padding, the
 penalty of the cut that ends it, and ``WINDOW_COST``. With ``f`` the least cost up to a place, the best
 predecessor by padding is the least ``f(i) + place(i)`` within reach, which a monotone queue hands out in
 constant time; windows of a power of two are found by searching the places. The program runs over buffers of
-``BUFFER_IDS`` ids; the last ``CARRIED`` windows of a buffer are decided again together with the next one.
+``BUFFER_IDS`` ids, or ``BUFFER_WINDOWS`` large windows; the last ``CARRIED`` windows of a buffer are decided again together with the next one.
 
 Each range partition of the identifiers is packed by itself, so its last window alone may be padded for want
 of documents. Defined results: null text is the empty text (the separator alone); a null identifier sorts
@@ -39,6 +39,7 @@ WINDOW_COST = 2
 FORCED_STEP = 16
 BUFFER_IDS = 1 << 19
 CARRIED = 16
+BUFFER_WINDOWS = 64
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType(), False),
     T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False),
@@ -108,13 +109,15 @@ class Packer:
     def __init__(self, tables: tuple[np.ndarray, np.ndarray], first_sequence: int, window: int = WINDOW, with_ids: bool = True):
         self.ends, self.begins = tables
         self.window, self.sequence, self.with_ids = window, first_sequence, with_ids
+        self.step = max(1, min(FORCED_STEP, window // 4))
+        self.buffer = max(BUFFER_IDS, BUFFER_WINDOWS * window)
         self.docs: deque = deque()  # [doc_id, ids, ids already packed]
         self.held = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
         self.docs.append([doc_id, ids, 0])
         self.held += len(ids)
-        if self.held >= BUFFER_IDS:
+        if self.held >= self.buffer:
             yield from self._pack(CARRIED)
 
     def finish(self) -> Iterator[tuple]:
@@ -127,11 +130,11 @@ class Packer:
         sentence = np.flatnonzero(self.ends[ids[:-1]] & self.begins[ids[1:]]) + 1
         places = np.unique(np.concatenate((doc_ends, sentence)))
         gaps = np.diff(np.concatenate(([0], places)))
-        wide = np.flatnonzero(gaps > FORCED_STEP)
+        wide = np.flatnonzero(gaps > self.step)
         if len(wide):
-            each = (gaps[wide] - 1) // FORCED_STEP  # forced places in each wide stretch
+            each = (gaps[wide] - 1) // self.step  # forced places in each wide stretch
             step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + 1
-            forced = np.repeat(places[wide] - gaps[wide], each) + step * FORCED_STEP
+            forced = np.repeat(places[wide] - gaps[wide], each) + step * self.step
             places = np.sort(np.concatenate((places, forced)))
         penalty = np.full(len(places), FORCED_CUT)
         penalty[np.searchsorted(places, sentence)] = SENTENCE_CUT

@@ -159,3 +159,21 @@ def test_token_records_query(spark, sf):
         x = np.asarray(ids(BYTE, text) + [2], "<u4")
         assert tuple(r) == (i, at, len(x), zlib.crc32(x.tobytes()))
         at += len(x)
+
+
+@pytest.mark.parametrize("window", [1, 2, 8, 100, 4096, 65536])
+def test_packing_follows_the_window(window):
+    """Small windows find places to cut, large ones are not solved again for every document."""
+    tables = np.zeros(1000, bool), np.zeros(1000, bool)
+    rng = np.random.default_rng(window)
+    docs = [rng.integers(1, 1000, 1000 if window > 4096 else 37).astype("<u4") for _ in range(700 if window > 4096 else 40)]
+    solved, packer = [], packing.Packer(tables, 0, window, False)
+    places = packer._places
+    packer._places = lambda: solved.append(packer.held) or places()
+    pieces = [p for i, d in enumerate(docs) for p in packer.add(i, d)] + list(packer.finish())
+    assert sum(solved) <= 3 * sum(map(len, docs))
+    filled = {}
+    for doc, start, n, crc, total, sequence, offset in pieces:
+        assert offset == filled.get(sequence, 0) and zlib.crc32(docs[doc][start:start + n]) == crc
+        filled[sequence] = offset + n
+    assert sum(filled.values()) == sum(map(len, docs)) and max(filled.values()) <= window
