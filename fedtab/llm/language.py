@@ -31,8 +31,9 @@ UNKNOWN = "und"
 DOC_GRAMS = 300
 PROFILE_GRAMS = 400
 SAMPLE_PER_LANGUAGE = 2000
-#: The filter of the pipeline lets everything pass that is at all like a learned language.
-LEAST_SCORE = 0.05
+#: The filter of the pipeline: 51,282 documents of 7 to 100,000 letters score 0.398 and more, random letters of 16 and more
+#: at most 0.27, base64 at most 0.25.
+LEAST_SCORE = 0.30
 _BLANK = 32
 
 

@@ -1,5 +1,6 @@
 """Language, toxicity, URL rules, archives, and the pipeline."""
 
+import base64
 import gzip
 import io
 import math
@@ -80,6 +81,19 @@ def test_language_edges(spark):
     assert language.learn(docs.limit(0)) == []
 
 
+def test_language_filter_drops_what_is_no_language(spark):
+    """Letter noise and encoded bytes go; every document of the table stays, short ones too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = language.learn(docs)
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (12, 40, 200, 3000)]
+    noise += [base64.b64encode(rng.randbytes(n)).decode() for n in (60, 900, 9000)]
+    made = documents(spark, [(-i, t) for i, t in enumerate(noise, 1)])
+    both = docs.select(*made.columns).unionByName(made)
+    kept = {r.doc_id for r in language.keep_known(both, learned).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     label = dict(zip(*[pq.read_table(f"{d}/labels.parquet").column(c).to_pylist() for c in ("doc_id", "toxic")]))
