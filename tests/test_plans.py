@@ -43,8 +43,10 @@ def test_scans_read_only_what_they_need(spark, sf):
 
 
 def test_aggregates_combine_before_the_shuffle(spark, sf):
-    for df in (prep.fit_scaler(fx.txn(spark, sf), fx.SPEC), profile.correlations(fx.txn(spark, sf), fx.SPEC)):
-        assert "partial_" in plan(df)
+    assert "partial_" in plan(prep.fit_scaler(fx.txn(spark, sf), fx.SPEC))
+    # co-moments: states are made on the scan's side of the first exchange
+    shown = plan(profile.correlations(fx.txn(spark, sf), fx.SPEC))
+    assert shown.rindex("MapInPandas") > shown.rindex("Exchange")
 
 
 def test_partition_pruning(spark, sf, tmp_path):
