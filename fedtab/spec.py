@@ -22,6 +22,10 @@ VERDICT_LABEL = {
     "REJECT_MODE_COLLAPSE": "Rejected (mode collapse)",
 }
 RUN_DEFAULTS = {"seed": 42, "epochs": 20, "num_rounds": 10, "local_epochs": 2}
+GATE_LIMITS = {"fidelity_floor": 0.5, "novelty_floor": 0.95, "mode_collapse_ceiling": 0.998, "min_valid_rows": 5}
+CLIENT_WEIGHTS = {"A": 0.35, "B": 0.35, "C": 0.15, "D": 0.15}
+RICH_CLIENTS = ("A", "B")
+SKEW_ALPHA, POOR_CAP, SPLIT_SEED = 0.3, 15, 42
 POOLED = "*"  # client name of the pooled (centralized) scaler and model
 # -------------------------------------------------------------------------------------------
 
@@ -45,20 +49,19 @@ class TableSpec:
 class Thresholds:
     """Gate limits, frozen once an arm has been evaluated."""
 
-    fidelity_floor: float = 0.5
-    novelty_floor: float = 0.95
-    mode_collapse_ceiling: float = 0.998
-    min_valid_rows: int = 5
+    fidelity_floor: float = GATE_LIMITS["fidelity_floor"]
+    novelty_floor: float = GATE_LIMITS["novelty_floor"]
+    mode_collapse_ceiling: float = GATE_LIMITS["mode_collapse_ceiling"]
+    min_valid_rows: int = GATE_LIMITS["min_valid_rows"]
 
 
 @dataclass(frozen=True)
 class PartitionPlan:
     """How the training pool is spread over the clients."""
 
-    clients: tuple[str, ...] = ("A", "B", "C", "D")
-    rich: tuple[str, ...] = ("A", "B")
-    weights: dict[str, float] = field(
-        default_factory=lambda: {"A": 0.35, "B": 0.35, "C": 0.15, "D": 0.15})
-    alpha: float = 0.3
-    poor_cap: int = 15
-    seed: int = 42
+    clients: tuple[str, ...] = tuple(CLIENT_WEIGHTS)
+    rich: tuple[str, ...] = RICH_CLIENTS
+    weights: dict[str, float] = field(default_factory=lambda: dict(CLIENT_WEIGHTS))
+    alpha: float = SKEW_ALPHA
+    poor_cap: int = POOR_CAP
+    seed: int = SPLIT_SEED
