@@ -194,3 +194,20 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+  iw AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win
+    FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+  dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+    FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+  hit AS (SELECT dw.* FROM dw SEMI JOIN iw USING (m, win)),
+  n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+  o AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha
+    FROM (SELECT DISTINCT doc_id, item FROM hit JOIN iw USING (m, win)) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)"""

@@ -23,4 +23,5 @@ QUERIES = {
 SQL = {
     "op4_exact_dedup": exact.SQL,
     "op8_warc": warc.SQL,
+    "op12_decontamination": decontaminate.SQL,
 }
