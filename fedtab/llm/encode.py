@@ -1,9 +1,11 @@
 """Whole-text encoding with a tokenizer file of the tokenizers library, chunk by chunk.
 
-Byte-level pre-tokenization never lets a token reach over a space that has non-space on either side, so a text
-may be encoded as the sequence of its space-separated chunks. Chunks repeat; each distinct one is encoded
-once per worker and kept in a cache of bounded size. Texts with white-space runs where that does not hold are
-encoded whole.
+A text of plain words, digits, punctuation, single spaces and line feeds is cut into its pre-tokens by a pattern;
+each distinct one goes through the library's model once per worker and is kept in a cache of bounded size.
+
+Any other text: byte-level pre-tokenization never lets a token reach over a space that has non-space on either
+side, so it may be encoded as the sequence of its space-separated chunks, which are kept likewise. Texts with
+white-space runs where that does not hold are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 from tokenizers import Tokenizer
 
@@ -25,6 +26,10 @@ _RUN = re.compile(r"\s \s")
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,40}"
 _STOPS = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but for the apostrophe, which contractions use
 _PLAIN = re.compile(rf"( ?(?:{_LETTERS}|[0-9]{{1,20}}|{_STOPS}{{1,20}}))({_STOPS}*)(?:(\n)({_LETTERS})({_STOPS}*))?")
+#: Pre-tokens as the byte-level pattern cuts them, in characters known to be letters or to be neither letter, number nor space.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u048a-\u052f"
+_SIGN = r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2010-\u2027\u2030-\u205e"
+_PRETOKENS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|\n(?!\n)")
 _START = "\0"  # marks a chunk that opens a text: it has no space in front
 
 
@@ -58,6 +63,16 @@ class PieceCache:
     def __init__(self, limit: int = CACHE_CHUNKS):
         self.limit, self.young, self.old = limit, {}, {}
 
+    def one(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        """Value of a key that the young half lacks."""
+        if (value := self.old.get(key)) is None:
+            value = make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
     def fill(self, keys: Iterable[str], make: Callable[[list[str]], list]) -> tuple[dict, dict]:
         """Two maps that together hold every key: the kept one and one for pieces too long to keep."""
         if len(self.young) > self.limit:
@@ -98,26 +113,38 @@ def shown_bytes() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to the bytes of their ids (unsigned 32 bits, little-endian).
-
-    A new piece of the plain form word, punctuation, perhaps a line feed and another word is put together from
-    its parts, which the library's model encodes; any other piece goes through the whole tokenizer.
-    """
+    """Encodes texts to the bytes of their ids (unsigned 32 bits, little-endian)."""
 
     def __init__(self, path: str):
         self.tokenizer, self.cache, self.words = load(path), _cache(path), _words(path)
-        self.spelled = shown_bytes()
+        self.spelled, self.tokenize = shown_bytes(), self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _spell(self, word: str) -> bytes:
+        """Ids of one pre-token, from the model."""
+        if word.isascii() and word.isprintable():
+            spelled = word.replace(" ", self.spelled[32])
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.spelled)
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        if (ids := self.words.get(word)) is None:
-            spelled = word.encode().decode("latin-1").translate(self.spelled)
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
-            if len(self.words) >= CACHE_CHUNKS:
-                self.words.clear()
-            self.words[word] = ids
+        if (ids := self.words.young.get(word)) is None:
+            ids = self.words.one(word, self._spell)
         return ids
 
+    def _plain(self, text: str) -> bytes | None:
+        """Ids of a text that consists of plain pre-tokens, else nothing."""
+        words = _PRETOKENS.findall(text)
+        if len("".join(words)) != len(text) or any(x in text for x in self.added):
+            return None
+        out = list(map(self.words.young.get, words))
+        i, missing = 0, out.count(None)
+        for _ in range(missing):
+            i = out.index(None, i)
+            out[i] = self._word(words[i])
+        return b"".join(out)
+
     def _make(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
         rest = []
@@ -142,28 +169,25 @@ class Encoder:
                 out[i] = array("I", e.ids).tobytes()
         return out
 
-    def pieces(self, texts: Iterable[str | None]) -> Iterator[list[tuple[list[str], list[bytes]]]]:
-        """Per slice of the texts: for each text, the keys of its pieces and the id bytes of each."""
-        for part in slices(texts):
-            keys = [keys_of(x) for x in part]
-            young, large = self.cache.fill(set(chain.from_iterable(keys)), self._make)
-            if large:
-                yield [(k, [young[x] if x in young else large[x] for x in k]) for k in keys]
-            else:
-                yield [(k, list(map(young.__getitem__, k))) for k in keys]
+    def _chunks(self, text: str) -> bytes:
+        """Ids of any text, chunk by chunk."""
+        keys = keys_of(text)
+        young, large = self.cache.fill(set(keys), self._make)
+        return b"".join([young[x] if x in young else large[x] for x in keys])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        for part in self.pieces(texts):
-            for _, ids in part:
-                yield b"".join(ids)
+        for text in texts:
+            text = text or ""
+            ids = self._plain(text)
+            yield self._chunks(text) if ids is None else ids
 
 
 @lru_cache(maxsize=4)
-def _words(path: str) -> dict[str, bytes]:
-    return {}
+def _words(path: str) -> PieceCache:
+    """Outlives a task: Python workers are reused."""
+    return PieceCache()
 
 
 @lru_cache(maxsize=4)
 def _cache(path: str) -> PieceCache:
-    """Outlives a task: Python workers are reused."""
     return PieceCache()

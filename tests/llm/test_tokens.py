@@ -43,6 +43,26 @@ def test_encoders_equal_the_library(path):
         assert list(Encoder(path).encode(t)) == want
 
 
+def test_pre_tokens_equal_the_library():
+    rng = random.Random(5)
+    signs = [*"aZ\u00e9\u0436\u03b1079.,'\"-\u2014\u201c\u20ac\u00ab \n", "'s", "'ll", " the", "<|endoftext|>", "\u00aa", "\u00b2", "\t"]
+    t = ["".join(rng.choices(signs, [6] * (len(signs) - 4) + [1] * 4, k=rng.randint(0, 12))) for _ in range(20_000)]
+    t += ["don't stop.\nThe 'end' isn't", "a\n\nb", "a \nb", "x\n", "\n", " ", "a  b", "<|endoftext|>", "word " * 3000, "q" * 100_000]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in library(BYTE).encode_batch(t, add_special_tokens=False)]
+    encoder = Encoder(BYTE)
+    assert list(encoder.encode(t)) == want
+    assert sum(encoder._plain(x) is not None for x in t) > 2000
+
+
+def test_kept_words_are_bounded():
+    encoder = Encoder(BYTE)
+    encoder.words = type(encoder.words)(100)
+    t = [f"word{i} stays{i % 7}" for i in range(1000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in library(BYTE).encode_batch(t, add_special_tokens=False)]
+    assert list(encoder.encode(t)) == want
+    assert len(encoder.words.young) <= 100 and len(encoder.words.old) <= 100
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_decoding_in_pieces_equals_the_library(path):
     for t in texts(300):
