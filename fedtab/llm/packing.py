@@ -57,34 +57,45 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -
     ``places`` rise from the first id after 0 to the end of the stream, never more than ``window`` apart;
     ``penalty`` is the price of a cut at each.
     """
-    at = np.concatenate(([0], places))
     pen = [0, *(penalty + WINDOW_COST).tolist()]
-    exact: list[list[int]] = [[] for _ in at]
+    at = np.concatenate(([0], places)).astype(np.int64)
+    n = len(at)
+    index = np.full(int(at[-1]) + 1, -1, np.int32)  # of the place at each id
+    index[at] = np.arange(n, dtype=np.int32)
+    ends, begins = [], []  # windows of a power of two
     k = 1
     while k <= window:
-        hit = np.minimum(np.searchsorted(at, at - k), len(at) - 1)
-        for j in np.flatnonzero(at[hit] == at - k).tolist():
-            exact[j].append(int(hit[j]))
+        first = int(np.searchsorted(at, k))
+        begin = index[at[first:] - k]
+        hit = np.flatnonzero(begin >= 0)
+        ends.append(hit + first)
+        begins.append(begin[hit])
         k *= 2
-    at = at.tolist()
-    cost, back = [0] * len(at), [0] * len(at)
-    queue = deque([(0, 0)])  # (f(i) + place(i), i), rising in both
-    for j in range(1, len(at)):
-        here = at[j]
-        while at[queue[0][1]] < here - window:
-            queue.popleft()
-        best, i = queue[0]
-        best += window - here
-        for e in exact[j]:
+    ends, begins = np.concatenate(ends), np.concatenate(begins)
+    order = np.argsort(ends, kind="stable")
+    upto = np.searchsorted(ends[order], np.arange(n), side="right").tolist()
+    begins, reach = begins[order].tolist(), np.searchsorted(at, at - window).tolist()
+    lack, at = (window - at).tolist(), at.tolist()
+    cost, back = [0] * n, [0] * n
+    keys, held, head, h = [0], [0], 0, 0  # queue from head on: f(i) + place(i), i; rising in both
+    for j in range(1, n):
+        while held[head] < reach[j]:
+            head += 1
+        best, i = keys[head] + lack[j], held[head]
+        while h < upto[j]:
+            e = begins[h]
+            h += 1
             if cost[e] < best:
                 best, i = cost[e], e
         best += pen[j]
         cost[j], back[j] = best, i
-        key = best + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
-    cuts, j = [], len(at) - 1
+        key = best + at[j]
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            held.pop()
+        keys.append(key)
+        held.append(j)
+    cuts, j = [], n - 1
     while j:
         cuts.append(j - 1)
         j = back[j]
