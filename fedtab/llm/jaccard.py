@@ -11,14 +11,14 @@ hashes.
    in the lowest ``1 / LOW_PART`` of all values first, among those the ones that few nodes have before frequent
    ones, then the rest; each part by hash. So a passage that very many documents share does not bring them
    together. Elements in one node only are dropped by a filter before anything is shuffled; element groups
-   with the same members are processed once.
+   with the same members are processed once, and cut where the sizes of their members rule out a link.
 3. Within a group a dual descent of signature trees finds the pairs that may link. Large groups are split into
    classes of like size and these into blocks, one task a pair of blocks whose sizes allow a link. A round proposes, in each group, the pairs that would join its parts, those
    with the largest possible overlap first, and in further rounds some more for each member (``MORE`` in the
-   second, that many times more in each one after it); the proposed pairs are verified on their full sets;
-   verified links join components, refuted pairs are not proposed again. A group is looked at again only if
-   pairs of it were held back and its members still are in different components. Rounds go on until no pair
-   is left.
+   third, that many times more in each one after it); the proposed pairs are verified on their full sets;
+   verified links join components, refuted pairs are not proposed again. What is looked at again, by finer
+   signatures, are the parts of a group that held pairs back and whose members still are in different
+   components. Rounds go on until no pair is left.
 
 Defined results: null text and text without words have the empty set and link with nothing; repeated rows are
 rows of one node; a null identifier takes part but is no component's name unless no row of it has one; an
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fedtab.functions.common import stage
@@ -40,7 +40,7 @@ from fedtab.llm.components import components
 from fedtab.llm.exact import BROADCAST_KEYS, located
 from fedtab.llm.shingles import mix, shingle_sets
 from fedtab.llm.staging import Stages
-from fedtab.llm.signatures import Rule, bitmap, candidates
+from fedtab.llm.signatures import FINE_BITS, Rule, bitmap, candidates
 
 LOW_PART = 4
 FREQUENT = 64
@@ -49,10 +49,10 @@ FILTER_BITS = 1 << 27
 BLOCK = 2048
 #: Size classes that a link may span; bits of a block's number within its class.
 REACH, BLOCK_BITS = 2, 20
-#: Pairs that are sifted at once.
-SIFT = 4096
+#: Pairs that are sifted at once; candidates of a group that are held before only the best are kept.
+SIFT, HELD = 4096, 1 << 17
 MORE = 4
-GROUP = ["token", "i", "j"]
+GROUP = ["token", "i", "j", "part"]
 _SIGN = np.uint64(1 << 63)
 
 
@@ -127,10 +127,11 @@ def _shared_filter(shared: DataFrame) -> np.ndarray:
         bits *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits, bool)
+        out = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            out[_slot(batch.column(0).to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()])], names=["bits"])
+            slot = _slot(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(out, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["bits"])
 
     parts = shared.select("token").coalesce(4).mapInArrow(run, "bits binary").collect()
     out = np.zeros(bits // 8, np.uint8)
@@ -180,23 +181,40 @@ def _memberships(nodes: DataFrame, rule: Rule) -> DataFrame:
     return nodes.select("node", "n", "least").mapInArrow(run, "token bigint, node binary, n bigint")
 
 
-def _groups(members: DataFrame) -> DataFrame:
-    """Memberships (token, node, n, c) of one element for every distinct set of two or more members; c is their number."""
+def _once(members: DataFrame, key: list[str]) -> DataFrame:
+    """``key`` and c (number of members) of one group for every distinct set of two or more members."""
     sums = [F.bit_xor(F.xxhash64(F.lit(s), "node")).alias(f"s{s}") for s in (1, 2)]  # a node is in a group once
-    by_token = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), *sums).filter("c > 1")
-    chosen = by_token.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token", "c")
-    return members.join(_sized(stage(chosen)), "token")
+    by_key = members.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), *sums).filter("c > 1")
+    chosen = by_key.groupBy("c", "s1", "s2").agg(F.min(F.struct(*key)).alias("k"))
+    return stage(chosen.select(*[F.col(f"k.{k}").alias(k) for k in key], "c"))
 
 
-def _dealt(groups: DataFrame, rule: Rule) -> DataFrame:
+def _groups(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Groups of at most ``BLOCK`` members as blocks (GROUP, node), and the memberships of the larger ones.
+
+    Sorted by size, a block is cut wherever two neighbours' sizes rule out a link: then no set before the cut links
+    with one behind it. Members that are left alone go, and blocks that now have the same members are one."""
+    chosen = _once(members, ["token"])
+    groups = members.join(_sized(chosen.filter(F.col("c") <= BLOCK)), "token")
+    by_size = Window.partitionBy("token").orderBy("n")
+    apart = F.coalesce(F.lag("n").over(by_size) * rule.den < F.col("n") * rule.num, F.lit(False)).cast("int")
+    cut = groups.withColumn("apart", apart).withColumn("i", F.sum("apart").over(by_size).cast("int"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("token", "i"))
+    runs = stage(cut.withColumn("met", alone).filter("met > 1").select("token", "i", "node"))
+    small = runs.join(_sized(_once(runs, ["token", "i"])), ["token", "i"])
+    small = small.select("token", "i", F.col("i").alias("j"), F.lit(b"").alias("part"), F.lit(0).alias("side"), "node")
+    return small, members.join(_sized(chosen.filter(F.col("c") > BLOCK)), "token")
+
+
+def _dealt(members: DataFrame, rule: Rule) -> DataFrame:
     """A row for every pair of blocks a member has a part in: pair (i, j), its side.
 
-    A group of at most ``BLOCK`` members is one block. In a larger one the upper levels of the tree are rows: its
+    A run of sizes in a group of at most ``BLOCK`` members is one block. In a larger group the upper levels of the tree are rows: its
     members fall into classes by size, so narrow that linking sets are at most ``REACH`` classes apart, each class into
     blocks; a pair of blocks whose sizes rule out a link is dropped before any member is dealt to it."""
     step = max(math.log(rule.den / rule.num) / REACH * (1 + 1e-9), 0.01)
-    small = groups.filter(F.col("c") <= BLOCK).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")
-    large = groups.filter(F.col("c") > BLOCK).withColumn("k", F.floor(F.log("n") / step).cast("int"))
+    small, large = _groups(members, rule)
+    large = large.withColumn("k", F.floor(F.log("n") / step).cast("int"))
     classes = large.groupBy("token", "k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     classes = stage(classes.groupBy("token").agg(F.collect_list(F.struct("k", "blocks")).alias("classes")))
     met = large.join(_sized(classes), "token")
@@ -208,65 +226,88 @@ def _dealt(groups: DataFrame, rule: Rule) -> DataFrame:
     others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda b: cell(x["k"], b))))
     pairs = (met.withColumn("block", cell(F.col("k"), F.pmod(F.xxhash64("node"), own).cast("int"))).withColumn("others", others)
              .select("token", "node", "block", F.explode_outer("others").alias("other"))
-             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("part", F.lit(b""))
              .withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("block") == F.col("j")).cast("int"))))
     return small.unionByName(pairs.select(*GROUP, "side", "node"))
 
 
-def _propose(rule: Rule, group: list[dict], share: int) -> tuple[list[tuple[bytes, bytes]], bool]:
-    """Pairs of one group to verify, and whether others are held back."""
+def _batches(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same pairs, about ``HELD`` at once."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= HELD:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _best(pairs: np.ndarray, bound: np.ndarray, labels: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs and their bounds: the ones that join parts of the group, those of largest bound first, and up to
+    ``share`` more for each member; then the part of each member. A pair that joins no parts among some pairs joins none among more, so what is left
+    out of a batch is not missed in the next one."""
+    order = np.argsort(-bound, kind="stable")
+    pairs, bound = pairs[:, order], bound[order]
+    part = labels.copy()  # the part of the group each member is in by now
+    had = np.zeros(len(labels), np.int64)
+    kept: list[int] = []
+    for at in range(0, len(bound), SIFT):
+        x, y = pairs[:, at:at + SIFT]
+        open_ = np.flatnonzero((part[x] != part[y]) | ((had[x] < share) & (had[y] < share)))  # shut ones stay shut
+        for k, i, j in zip(open_.tolist(), x[open_].tolist(), y[open_].tolist()):
+            if part[i] != part[j] or (had[i] < share and had[j] < share):
+                if part[i] != part[j]:
+                    part[part == part[i]] = part[j]
+                had[i] += 1
+                had[j] += 1
+                kept.append(at + k)
+    return pairs[:, kept], bound[kept], part
+
+
+def _propose(rule: Rule, group: list[dict], share: int) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
+    """Pairs of one group to verify, and the members of every part of it that holds others back: no pair of unlike
+    parts may link."""
     names: dict[bytes, int] = {}
     labels = np.asarray([names.setdefault(m["label"], len(names)) for m in group], np.int64)
     if len(names) < 2:
-        return [], False
+        return [], []
     sizes = np.asarray([m["n"] for m in group], np.int64)
     bitmaps = [np.frombuffer(m["signature"], "<u8") for m in group]
     sides = np.asarray([m["side"] for m in group])
     side = sides if group[0]["i"] != group[0]["j"] else None
     place = {m["node"]: k for k, m in enumerate(group)}
     never = {x * len(group) + place[n] for x, m in enumerate(group) for n in m["refuted"] or () if n in place}
-    parts = list(candidates(rule, sizes, bitmaps, np.asarray([m["first"] for m in group], np.int64), labels, side))
-    if not parts:
-        return [], False
-    a, b, over = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
-    del parts
-    if never:
-        known = np.fromiter(never, np.int64, len(never))
-        new = ~(np.isin(a * len(group) + b, known) | np.isin(b * len(group) + a, known))
-        a, b, over = a[new], b[new], over[new]
-    total = len(a)
-    best = np.argsort(-(over / (sizes[a] + sizes[b])), kind="stable").astype(np.int32)
-    a, b = a.astype(np.int32)[best], b.astype(np.int32)[best]
-    del over, best
-    part = labels.copy()  # the part of the group each member is in by now
-    had = np.zeros(len(group), np.int64)
-    kept: list[tuple[int, int]] = []
-    for at in range(0, total, SIFT):
-        x, y = a[at:at + SIFT], b[at:at + SIFT]
-        open_ = (part[x] != part[y]) | ((had[x] < share) & (had[y] < share))  # shut ones stay shut
-        for i, j in zip(x[open_].tolist(), y[open_].tolist()):
-            if part[i] != part[j] or (had[i] < share and had[j] < share):
-                if part[i] != part[j]:
-                    part[part == part[i]] = part[j]
-                had[i] += 1
-                had[j] += 1
-                kept.append((i, j))
-    return [tuple(sorted((group[i]["node"], group[j]["node"]))) for i, j in kept], len(kept) < total
+    known = np.fromiter(never, np.int64, len(never))
+    best, bound, part = np.empty((2, 0), np.int32), np.empty(0, np.float32), labels
+    ends = np.zeros(len(group), np.int64)  # candidates by their first member, then less the kept ones
+    for a, b, over in _batches(candidates(rule, sizes, bitmaps, np.asarray([m["first"] for m in group], np.int64), labels, side)):
+        if len(known):
+            new = ~(np.isin(a * len(group) + b, known) | np.isin(b * len(group) + a, known))
+            a, b, over = a[new], b[new], over[new]
+        ends += np.bincount(a, minlength=len(group))
+        best = np.concatenate((best, np.stack((a, b)).astype(np.int32)), axis=1)
+        best, bound, part = _best(best, np.concatenate((bound, (over / (sizes[a] + sizes[b])).astype(np.float32))), labels, share)
+    ends -= np.bincount(best[0], minlength=len(group))
+    return [tuple(sorted((group[i]["node"], group[j]["node"]))) for i, j in best.T.tolist()], [np.flatnonzero(part == p).tolist() for p in np.unique(part[ends > 0])]
 
 
 def _proposals(members: DataFrame, rule: Rule, share: int) -> DataFrame:
-    """a and b of proposed pairs, and a row without them for every group that holds pairs back."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
+    """a and b of proposed pairs, and a row without them for every part of a group that holds pairs back, with its members."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.binary()),
+                        ("nodes", pa.list_(pa.binary())), ("sides", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
 
         def close() -> None:
             if len(group) > 1:
-                pairs, more = _propose(rule, group, share)
-                out.extend((a, b, None, None, None) for a, b in pairs)
-                if more:
-                    out.append((None, None, *key))
+                pairs, parts = _propose(rule, group, share)
+                out.extend((a, b, *[None] * 6) for a, b in pairs)
+                for part in parts:  # named by its least member
+                    own = [group[m]["node"] for m in part]
+                    out.append((None, None, *key[:3], min(own), own, [group[m]["side"] for m in part]))
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
@@ -275,7 +316,7 @@ def _proposals(members: DataFrame, rule: Rule, share: int) -> DataFrame:
 
         for batch in batches:
             for m in batch.to_pylist():
-                k = m["token"], m["i"], m["j"]
+                k = tuple(m[x] for x in GROUP)
                 if k != key:
                     close()
                     key, group = k, []
@@ -286,7 +327,26 @@ def _proposals(members: DataFrame, rule: Rule, share: int) -> DataFrame:
         if out:
             yield flush()
 
-    return members.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a binary, b binary, token bigint, i int, j int")
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a binary, b binary, token bigint, i int, j int, part binary, nodes array<binary>, sides array<int>")
+
+
+def _fine(nodes: DataFrame, docs: DataFrame, width: int, text_col: str, kept: Stages) -> DataFrame:
+    """node, n, signature and first of ``nodes`` (node, __file, __row), with finer bitmaps; only their texts are fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                n, signatures, first = [], [], []
+                for s in shingle_sets(batch.column("text"), width):
+                    n.append(len(s))
+                    signatures.append(bitmap(s, FINE_BITS).tobytes())
+                    first.append(_signed(s[:1])[0])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(signatures, pa.binary()),
+                                                  pa.array(first, pa.int64())], names=["node", "n", "signature", "first"])
+
+    texts = docs.select("__file", "__row", F.col(text_col).cast("string").alias("text")).join(_sized(nodes), ["__file", "__row"])
+    return kept.put("fine", texts.select("node", "text").mapInArrow(run, "node binary, n bigint, signature binary, first bigint"))
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, rule: Rule, text_col: str,
@@ -331,7 +391,7 @@ def link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str = "
     rows = stage(make_sets(docs, width, rule, id_col, text_col))
     nodes = _distinct_sets(rows)
     kept = Stages(docs.sparkSession)
-    groups = kept.put("groups", _dealt(_groups(kept.put("members", _memberships(nodes, rule))), rule))
+    groups = kept.put("groups", _dealt(kept.put("members", _memberships(nodes, rule)), rule))
     kept.drop("members")
     entries = stage(nodes.join(_sized(stage(groups.select("node").distinct())), "node", "left_semi")
                     .select("node", "n", "signature", F.coalesce(F.get("least", F.lit(0)), F.lit(0)).alias("first")))
@@ -347,11 +407,14 @@ def link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str = "
             # few groups are still open: only their members' signatures are fetched
             members = kept.put("open", members)
             asked = kept.put("asked", members.select("node").distinct())
+            if rounds == 1:
+                places = kept.put("places", nodes.select("node", "__file", "__row").join(_sized(asked), "node", "left_semi"))
+                entries = _fine(places, docs, width, text_col, kept)
             known = entries.join(_sized(asked), "node", "left_semi")
         else:
             members = members.withColumn("refuted", F.lit(None).cast("array<binary>"))
             known = entries
-        found = kept.put("found", _proposals(members.join(known, "node"), rule, MORE ** rounds if rounds else 0))
+        found = kept.put("found", _proposals(members.join(known, "node"), rule, MORE ** (rounds - 1) if rounds > 1 else 0))
         pairs = kept.put("pairs", found.filter("a IS NOT NULL").select("a", "b").distinct())
         if pairs.isEmpty():
             break
@@ -360,7 +423,8 @@ def link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str = "
         bad = judged.filter("not linked").select("a", "b")
         refuted = bad if refuted is None else refuted.unionByName(bad)
         labels = kept.put("labels", _joined(labels, judged.filter("linked").select("a", "b")))
-        groups = kept.put("groups", groups.join(found.filter("a IS NULL").select(*GROUP), GROUP, "left_semi"))
+        groups = kept.put("groups", found.filter("a IS NULL").select(*GROUP, F.explode(F.arrays_zip("nodes", "sides")).alias("m"))
+                          .select(*GROUP, F.col("m.sides").alias("side"), F.col("m.nodes").alias("node")))
         rounds += 1
     member = F.coalesce("component", "node")
     whole = rows.join(labels, "node", "left").withColumn("__group", F.when(F.col("n") > 0, member))

@@ -14,14 +14,15 @@ import numpy as np
 
 LEAF = 16
 FAN_OUT = 8
-BITS_PER_ELEMENT = 2
+#: Of a first look; with ``FINE_BITS`` sets whose bitmaps allow a link nearly always have one.
+BITS_PER_ELEMENT, FINE_BITS = 2, 8
 LEAST_BITS, MOST_BITS = 64, 1 << 17
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
+def bitmap(elements: np.ndarray, each: int = BITS_PER_ELEMENT) -> np.ndarray:
     """Bitmap of a set of 64-bit hashes as 64-bit words; its length follows the size of the set."""
     bits = LEAST_BITS
-    while bits < BITS_PER_ELEMENT * len(elements) and bits < MOST_BITS:
+    while bits < each * len(elements) and bits < MOST_BITS:
         bits *= 2
     out = np.zeros(bits, bool)
     out[(elements >> np.uint64(40)) & np.uint64(bits - 1)] = True

@@ -242,3 +242,28 @@ def test_bands_of_many_unlike_fingerprints(spark):
     for block in (1024, 64):
         assert {r.node: r.component for r in fingerprints.joined(banded, 0.6, block).collect()} == want
     assert fingerprints.joined(banded.limit(0), 0.6).count() == 0
+
+
+def test_groups_are_cut_by_size(spark):
+    """A passage that sets of unlike sizes share brings only those of like sizes together, once however many elements they share."""
+    rule = signatures.Rule(85, 100)
+    sizes = {"a": 100, "b": 95, "c": 50, "d": 10, "e": 9}
+    members = spark.createDataFrame([(t, k.encode(), n) for t in range(30) for k, n in [*sizes.items(), (f"x{t}", 1000 + 500 * t)]], "token long, node binary, n long")
+    small, large = jaccard._groups(members, rule)
+    got = sorted((bytes(r.node).decode(), r.token, r.i) for r in small.collect())
+    assert [x[0] for x in got] == ["a", "b", "d", "e"] and len({x[1:] for x in got}) == 2
+    assert large.count() == 0
+
+
+def test_open_parts_of_a_group():
+    """Only members that may still link are looked at again, and few pairs are held at once."""
+    rule = signatures.Rule(85, 100)
+    whole = np.random.default_rng(3).integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = {f"n{k}": np.delete(whole, k) for k in range(40)} | {f"z{k}": np.random.default_rng(100 + k).integers(0, 1 << 63, 400, dtype=np.uint64) for k in range(20)}
+    group = [{"token": 1, "i": 0, "j": 0, "part": b"", "side": 0, "node": k.encode(), "label": k.encode(), "n": len(s), "refuted": None,
+              "signature": signatures.bitmap(s).tobytes(), "first": int(s.min() >> np.uint64(1))} for k, s in sets.items()]
+    for held in (1, 1 << 17):
+        before, jaccard.HELD = jaccard.HELD, held
+        pairs, parts = jaccard._propose(rule, group, 0)
+        jaccard.HELD = before
+        assert len(pairs) == 39 and parts == [list(range(40))]
