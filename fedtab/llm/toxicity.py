@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ SPARSITY = 2e-4
 LEAST_DOCUMENTS = 5
 FIRST_BIAS = -6.0
 THRESHOLD = 0.5
+#: Items that a sum of the fit holds at once.
+RUN = 1 << 18
 _SENTENCE = re.compile(r"[.!?\n]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -69,53 +72,105 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(texts: Iterable[str], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the bias, by Adam on the noisy-or likelihood of whole documents.
+class Lists:
+    """Lists of small integers, one behind the other, 32 bits each. Sums go over runs of whole lists of about ``RUN`` items,
+    so that nothing of the full length is made beside them; each sum adds in the order of the items."""
+
+    def __init__(self, items: array | np.ndarray, lengths: np.ndarray):
+        self.items, self.lengths = np.frombuffer(items, np.int32), lengths
+        self.ends = np.cumsum(lengths)
+
+    def _runs(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Numbers of the lists of a run, and its items."""
+        first = at = 0
+        while first < len(self.ends):
+            last = max(first + 1, int(np.searchsorted(self.ends, at + RUN, "right")))
+            yield slice(first, last), self.items[at:self.ends[last - 1]].astype(np.intp)
+            first, at = last, int(self.ends[last - 1])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each list the sum of its items' values."""
+        out = np.zeros(len(self.lengths))
+        for run, items in self._runs():
+            n = run.stop - run.start
+            out[run] = np.bincount(np.repeat(np.arange(n), self.lengths[run]), values[items], n)
+        return out
+
+    def spread(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Of each item the sum of the values of the lists it is in."""
+        out = np.zeros(size)
+        for run, items in self._runs():
+            np.add.at(out, items, np.repeat(values[run], self.lengths[run]))
+        return out
+
+    def only(self, kept: np.ndarray) -> Lists:
+        """The lists without the items that are not kept; those are numbered anew."""
+        number = (np.cumsum(kept) - 1).astype(np.int32)
+        parts = [number[items[kept[items]]] for _, items in self._runs()]
+        return Lists(np.concatenate(parts), self.sums(kept).astype(np.int64))
+
+
+def _read(rows: Iterable[tuple[str, int]]) -> tuple[Lists, Lists, np.ndarray, np.ndarray]:
+    """Words of each sentence, features of each word, the documents' numbers of sentences, and their labels."""
+    vocabulary: dict[str, int] = {}
+    words, features = array("i"), array("i")
+    sentence_lengths, word_lengths, document_lengths, labels = array("q"), array("q"), array("q"), array("d")
+    for text, label in rows:
+        found = sentences(text)
+        for s in found:
+            distinct = dict.fromkeys(s.split())
+            for w in distinct:
+                if (k := vocabulary.setdefault(w, len(vocabulary))) == len(word_lengths):
+                    listed = word_features(w)
+                    features.extend(listed)
+                    word_lengths.append(len(listed))
+                words.append(k)
+            sentence_lengths.append(len(distinct))
+        document_lengths.append(len(found))
+        labels.append(label)
+    of_sentence, of_word = Lists(words, np.frombuffer(sentence_lengths, np.int64)), Lists(features, np.frombuffer(word_lengths, np.int64))
+    return of_sentence, of_word, np.frombuffer(document_lengths, np.int64), np.frombuffer(labels)
+
+
+def fit(rows: Iterable[tuple[str, int]], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the bias, by Adam on the noisy-or likelihood of whole documents (text, label), which are read
+    once, one by one.
 
     Weights are evidence for toxicity only (not below zero), so harmless words around it cannot hide it; small
     ones are drawn to zero, and buckets seen in fewer than ``LEAST_DOCUMENTS`` documents stay there.
     """
-    vocabulary: dict[str, int] = {}
-    words, sentence_ends, document_ends = [], [], []
-    for text in texts:
-        for s in sentences(text):
-            words += [vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(s.split())]
-            sentence_ends.append(len(words))
-        document_ends.append(len(sentence_ends))
-    if not len(vocabulary):
-        return np.zeros(BUCKETS), FIRST_BIAS
-    listed = [word_features(w) for w in vocabulary]
-    features = np.fromiter((f for x in listed for f in x), np.int64)
-    word_of = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
-    words = np.asarray(words, np.int64)
-    lengths = np.diff(np.concatenate(([0], sentence_ends)))
-    sentence_of = np.repeat(np.arange(len(lengths)), lengths)
-    document_of = np.repeat(np.arange(len(document_ends)), np.diff(np.concatenate(([0], document_ends))))
-    y = np.asarray(labels, float)
-    pairs = np.unique(document_of[sentence_of] * len(listed) + words)  # document and word
-    seen_in = np.bincount(features, np.bincount(pairs % len(listed), minlength=len(listed))[word_of], BUCKETS)
-    common = seen_in >= LEAST_DOCUMENTS
-    kept = common[features]
-    features, word_of = features[kept], word_of[kept]
+    words, features, document_lengths, y = _read(rows)
+    weights = np.zeros(BUCKETS)
+    if not len(features.lengths):
+        return weights, FIRST_BIAS
+    document_of = np.repeat(np.arange(len(y)), document_lengths)
+    seen, at = np.zeros(len(features.lengths)), 0  # documents by word
+    for end in np.concatenate(([0], words.ends))[np.cumsum(document_lengths)]:
+        seen[np.unique(words.items[at:end])] += 1
+        at = end
+    common = features.spread(seen, BUCKETS) >= LEAST_DOCUMENTS
+    # other buckets keep the weight 0; a word of none but them adds nothing to a sentence
+    features = features.only(common)
+    told = features.lengths > 0
+    words, features = words.only(told), Lists(features.items, features.lengths[told])
     share = np.where(y > 0, 0.5 / max(1.0, (y > 0).sum()), 0.5 / max(1.0, (y == 0).sum())) * len(y)  # both labels weigh alike
-    w, bias = np.zeros(BUCKETS), FIRST_BIAS
-    m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+    size, bias = int(common.sum()), FIRST_BIAS
+    w, m, v, mb, vb = np.zeros(size), np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        by_word = np.bincount(word_of, w[features], len(listed))
-        z = bias + np.bincount(sentence_of, by_word[words], len(lengths))
+        z = bias + words.sums(features.sums(w))
         # minus the log of the chance that nothing is toxic
         none = _softplus(bias) + np.bincount(document_of, _softplus(z) - _softplus(bias), len(y))
         pull = np.where(y > 0, -1.0 / np.expm1(np.clip(none, 1e-9, 50.0)), 1.0) * share
         g = pull[document_of] / (1.0 + np.exp(-z))
-        g_word = np.bincount(words, g[sentence_of], len(listed))
-        grad = np.bincount(features, g_word[word_of], BUCKETS) / len(y) + SPARSITY * common
+        grad = features.spread(words.spread(g, len(features.lengths)), size) / len(y) + SPARSITY
         grad_bias = float(g.sum() + ((1 - np.bincount(document_of, minlength=len(y))) * pull).sum() / (1.0 + np.exp(-bias))) / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_bias, 0.99 * vb + 0.01 * grad_bias ** 2
         step = RATE / (1 - 0.9 ** t)
         w = np.maximum(w - step * m / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6), 0.0)
         bias -= step * mb / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-6)
-    return w, bias
+    weights[common] = w
+    return weights, bias
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -142,15 +197,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
-    """Fits in one executor task; the weights (32 bits each) are what comes back."""
+    """Fits in one executor task, which reads the sample in Spark's order; the weights (32 bits each) are what comes back."""
     sample = training_sample(docs, labels, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((i, t, y) for b in batches for i, t, y in zip(*[c.to_pylist() for c in b.columns])), key=lambda r: (str(r[0]), r[1]))
-        w, bias = fit([t for _, t, _ in rows], np.asarray([y for *_, y in rows]))
+        w, bias = fit((t.as_py(), y.as_py()) for b in batches for t, y in zip(*b.columns))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    row = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    ordered = sample.repartition(1).sortWithinPartitions(F.col("__id").cast("string"), "text").select("text", "label")
+    row = ordered.mapInArrow(run, "weights binary, bias double").first()
     return (np.frombuffer(row.weights, np.float32), row.bias) if row else (np.zeros(BUCKETS, np.float32), FIRST_BIAS)
 
 

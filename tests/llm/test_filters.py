@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -146,6 +147,75 @@ def test_toxicity_score_is_the_noisy_or_of_its_sentences(spark):
         assert abs(got[i] - (1 - clean)) < 1e-6, text
 
 
+def plain_fit(rows, rounds):
+    """The fit as formulas over plain lists: each word of each sentence with each of its buckets."""
+    bags = [[[toxicity.word_features(w) for w in dict.fromkeys(s.split())] for s in toxicity.sentences(t)] for t, _ in rows]
+    y = np.asarray([label for _, label in rows], float)
+    seen = np.zeros(toxicity.BUCKETS)
+    for t, _ in rows:
+        for w in {w for s in toxicity.sentences(t) for w in s.split()}:
+            np.add.at(seen, toxicity.word_features(w), 1)
+    common = seen >= toxicity.LEAST_DOCUMENTS
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    w, bias = np.zeros(toxicity.BUCKETS), toxicity.FIRST_BIAS
+    m, v, mb, vb = 0 * w, 0 * w, 0.0, 0.0
+    for t in range(1, rounds + 1):
+        grad, grad_bias, leak = toxicity.SPARSITY * common * len(y), 0.0, math.log1p(math.exp(bias))
+        for bag, label, weight in zip(bags, y, share):
+            z = [bias + sum(w[f].sum() for f in s) for s in bag]
+            none = leak + sum(math.log1p(math.exp(x)) - leak for x in z)
+            pull = weight * (-1 / math.expm1(min(max(none, 1e-9), 50.0)) if label else 1.0)
+            for x, s in zip(z, bag):
+                for f in s:
+                    np.add.at(grad, f, pull / (1 + math.exp(-x)))
+                grad_bias += pull / (1 + math.exp(-x))
+            grad_bias += (1 - len(bag)) * pull / (1 + math.exp(-bias))
+        grad, grad_bias = np.where(common, grad, 0) / len(y), grad_bias / len(y)
+        m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2, 0.9 * mb + 0.1 * grad_bias, 0.99 * vb + 0.01 * grad_bias ** 2
+        step = toxicity.RATE / (1 - 0.9 ** t)
+        w = np.maximum(w - step * m / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6), 0.0)
+        bias -= step * mb / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-6)
+    return w, bias
+
+
+def test_toxicity_fit_is_the_plain_one(spark, monkeypatch):
+    """Weights against plain formulas, by sums over short runs; texts without sentences, words without letters, rare words."""
+    monkeypatch.setattr(toxicity, "RUN", 7)
+    rows = [(". ".join([sentence(k, 6 + k % 5), "12 34", "zzrotten zzvile, ZZvile" if k % 3 == 0 else "plain words", f"rare{k}"]), int(k % 3 == 0))
+            for k in range(24)] + [("", 0), ("...", 1), ("7 8 9", 0)]
+    w, bias = plain_fit(rows, 12)
+    got = toxicity.fit(iter(rows), 12)
+    assert (w > 0).any() and np.allclose(got[0], w, rtol=1e-9, atol=1e-9) and abs(got[1] - bias) < 1e-9
+    assert not toxicity.fit([("...", 1), ("", 0)])[0].any() and not toxicity.fit([("1 2", 1), ("3", 0)])[0].any()
+    # the task reads the same rows in the order of their identifiers as strings
+    docs, labels = documents(spark, [(k, t) for k, (t, _) in enumerate(rows)]), spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    trained = toxicity.train(docs, labels)
+    w, bias = toxicity.fit([rows[k] for k in sorted(range(len(rows)), key=str)])
+    assert np.allclose(trained[0], w, rtol=1e-5, atol=1e-5) and abs(trained[1] - bias) < 1e-6
+
+
+def test_toxicity_fit_holds_little_beside_the_words(monkeypatch):
+    """Per word of the sample the fit holds a few bytes, not lists and index arrays of the full length."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 1 << 12)
+    monkeypatch.setattr(toxicity, "RUN", 1 << 12, raising=False)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
+    n = 0
+
+    def rows():
+        nonlocal n
+        for k in range(3000):
+            n += 200
+            yield " ".join(words[k % 400:k % 400 + 200]), k % 2
+
+    tracemalloc.start()
+    try:
+        toxicity.fit(rows(), 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 15 * n, (peak, n)
+
+
 def test_toxicity_without_anything_to_learn(spark):
     docs = documents(spark, EDGES)
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
