@@ -126,3 +126,16 @@ def test_undefined_pairs_do_not_count(spark):
     syn = spark.createDataFrame([("A", "m", 1.0, 5.0), ("A", "m", 2.0, 5.0)], "client string, mode string, time double, amount double")
     f = g.fidelity(real, syn, SPEC).first()
     assert f["pair_trends"] is None and f["fidelity_score"] == f["column_shapes"]
+
+
+def test_vectors_that_do_not_cluster_are_not_copied_per_visit(spark, monkeypatch):
+    """Where no block can be ruled out, a table still has at most a row a vector, not one for every block it looks at."""
+    x = np.random.default_rng(5).normal(size=(600, 12))
+    df = spark.createDataFrame([("a", v.tolist()) for v in x], "batch string, vec array<double>")
+    counts, real = [], nearest.stage
+    monkeypatch.setattr(nearest, "stage", lambda t: (kept := real(t), counts.append(kept.count()))[0])
+    monkeypatch.setattr(nearest, "GROUP_ROWS", 100, raising=False)
+    monkeypatch.setattr(nearest, "PART_BLOCKS", 7, raising=False)
+    got = {r["vid"]: r["best"] for r in nearest.nearest_cosine(df, ["batch"], "vec", 30).collect()}
+    np.testing.assert_allclose(sorted(got.values()), sorted(brute_nn(x)), atol=1e-12)
+    assert len(got) == 600 and max(counts) <= 600
