@@ -125,6 +125,19 @@ def test_pieces_split_lines_whole(tmp_path, piece, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_small_files_share_a_task(tmp_path):
+    """A folder of many short logs is some pieces by its bytes, not one for every file."""
+    for i in range(500):
+        (tmp_path / f"{i:03d}.jsonl").write_text(f"first {i}\nsecond {i}\n")
+    reader = growing.GrowingReader({"path": str(tmp_path)})
+    end = reader.latestOffset()
+    pieces = reader.partitions({}, end)
+    assert len(pieces) == 1 and len(end) == 500
+    got = [(n, line) for p in pieces for n, _, line in reader.read(p)]
+    assert sorted(got) == sorted((f"{i:03d}.jsonl", f"{w} {i}") for i in range(500) for w in ("first", "second"))
+    assert len(growing.GrowingReader({"path": str(tmp_path), "piecebytes": "100000"}).partitions({}, end)) in range(10, 30)
+
+
 def test_a_file_that_became_shorter_is_an_error(tmp_path):
     reader = growing.GrowingReader({"path": str(tmp_path)})
     (tmp_path / "x.jsonl").write_text("one\ntwo\n")
